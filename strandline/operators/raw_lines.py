@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow import flat_bytes
+
 START, BARE, QUOTED, CLOSING, BROKEN = range(5)
 CHUNK = 4096
 FIELDS = ("record_no", "header", "seq", "qual", "seq_len")
@@ -29,15 +31,6 @@ _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[ord(",")], _CLASS[ord('"')] = 1, 2
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the offsets of its rows; null counts as empty."""
-    column = column.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    return raw, offsets - offsets[0]
-
-
 def _walk(classes: np.ndarray, offsets: np.ndarray, state: np.ndarray, each: np.ndarray | None) -> np.ndarray:
     """End states of all rows: one step per character position, over every row still that long.
 
@@ -63,7 +56,7 @@ def _walk(classes: np.ndarray, offsets: np.ndarray, state: np.ndarray, each: np.
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First pass: each chunk's transition map, three bits for each start state."""
     for batch in batches:
-        raw, offsets = _flat(batch.column("chunk"))
+        raw, offsets = flat_bytes(batch.column("chunk"))
         ends = _walk(_CLASS[raw], offsets, np.tile(np.arange(5, dtype=np.uint8), (batch.num_rows, 1)), None)
         packed = sum(ends[:, s].astype(np.int32) << 3 * s for s in range(5))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.int32())], names=[*batch.schema.names, "map"])
@@ -72,7 +65,7 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Second pass: the (parts of) fields of each chunk, unquoted, from its true start state."""
     for batch in batches:
-        raw, offsets = _flat(batch.column("chunk"))
+        raw, offsets = flat_bytes(batch.column("chunk"))
         first = batch.column("start_state").to_numpy(zero_copy_only=False).astype(np.uint8)
         n, classes = batch.num_rows, _CLASS[raw]
         if not n:
