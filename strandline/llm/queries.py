@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shared import table
 from .pieces import genome_pieces
+from .spans import shared_spans
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,3 +35,30 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     pieces = genome_pieces(table(spark, d, "genome"), table(spark, d, "run_options"))
     return pieces.select("record.chrom_id", "piece_no", "piece_start", "piece", "cut")
+
+
+def _span_length(spark: SparkSession, d: str) -> int:
+    return 4 * table(spark, d, "run_options").filter("profile_id = 1").agg(F.max("kmerlength")).first()[0]
+
+
+_P3 = """WITH g AS (SELECT DISTINCT chrom_id, upper(seq) AS s FROM genome WHERE length(seq) >= 64),
+    w AS (SELECT chrom_id, i, substr(s, i + 1, 64) AS t FROM (SELECT *, unnest(range(length(s) - 63)) AS i FROM g)),
+    c AS (SELECT * FROM w WHERE regexp_full_match(t, '[ACGT]{64}')),
+    k AS (SELECT t FROM c GROUP BY t HAVING min(chrom_id) <> max(chrom_id)),
+    x AS (SELECT chrom_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY chrom_id ORDER BY i) <= 64 THEN 0 ELSE 1 END AS n FROM c SEMI JOIN k USING (t)),
+    y AS (SELECT chrom_id, i, sum(n) OVER (PARTITION BY chrom_id ORDER BY i) AS z FROM x),
+    spans AS (SELECT chrom_id, CAST(min(i) AS INT) AS span_start, CAST(max(i) + 64 AS INT) AS span_end FROM y GROUP BY chrom_id, z)"""
+
+
+@query(f"{_P3} SELECT * FROM spans")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    spans = shared_spans(table(spark, d, "genome"), "chrom_id", "seq", _span_length(spark, d))
+    return spans.select(F.col("id").cast("int").alias("chrom_id"), "span_start", "span_end")
+
+
+@query(f"{_P3} SELECT chrom_id, length(s) AS n_letters, coalesce(n, 0) AS n_shared, CASE WHEN length(s) > 0 THEN round(coalesce(n, 0) / length(s), 6) END AS share FROM (SELECT DISTINCT chrom_id, seq AS s FROM genome) LEFT JOIN (SELECT chrom_id, CAST(sum(span_end - span_start) AS BIGINT) AS n FROM spans GROUP BY chrom_id) USING (chrom_id)")
+def p3_share(spark: SparkSession, d: str) -> DataFrame:
+    genome = table(spark, d, "genome")
+    spans = shared_spans(genome, "chrom_id", "seq", _span_length(spark, d)).groupBy("id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("n"))
+    whole = genome.select("chrom_id", F.length("seq").cast("long").alias("n_letters")).distinct().join(spans, F.col("chrom_id") == F.col("id"), "left")
+    return whole.select("chrom_id", "n_letters", F.coalesce("n", F.lit(0)).alias("n_shared"), F.when(F.col("n_letters") > 0, F.round(F.coalesce("n", F.lit(0)) / F.col("n_letters"), 6)).alias("share"))
