@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import table
+from .near_reads import alike_pairs
 from .pieces import genome_pieces
 from .spans import shared_spans
 
@@ -62,3 +63,21 @@ def p3_share(spark: SparkSession, d: str) -> DataFrame:
     spans = shared_spans(genome, "chrom_id", "seq", _span_length(spark, d)).groupBy("id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("n"))
     whole = genome.select("chrom_id", F.length("seq").cast("long").alias("n_letters")).distinct().join(spans, F.col("chrom_id") == F.col("id"), "left")
     return whole.select("chrom_id", "n_letters", F.coalesce("n", F.lit(0)).alias("n_shared"), F.when(F.col("n_letters") > 0, F.round(F.coalesce("n", F.lit(0)) / F.col("n_letters"), 6)).alias("share"))
+
+
+def _likeness(spark: SparkSession, d: str) -> float:
+    return (100 - 10 * table(spark, d, "run_options").filter("profile_id = 1").agg(F.max("max_hamming_percent")).first()[0]) / 100
+
+
+_P5 = """WITH r AS (SELECT DISTINCT read_id, upper(seq) AS s FROM read_records WHERE length(seq) >= 8),
+    t AS (SELECT DISTINCT read_id, substr(s, i, 8) AS k FROM (SELECT *, unnest(range(1, length(s) - 6)) AS i FROM r)),
+    c AS (SELECT * FROM t WHERE regexp_full_match(k, '[ACGT]{8}')),
+    n AS (SELECT read_id, count(*) AS n FROM c GROUP BY read_id HAVING count(*) >= 20),
+    o AS (SELECT a.read_id AS x, b.read_id AS y, count(*) AS o FROM c a JOIN c b ON a.k = b.k AND a.read_id < b.read_id GROUP BY ALL),
+    pairs AS (SELECT x AS read_id_a, y AS read_id_b, o, nx.n + ny.n - o AS u FROM o JOIN n nx ON nx.read_id = x JOIN n ny ON ny.read_id = y
+        WHERE o * 100 >= (SELECT 100 - 10 * max_hamming_percent FROM run_options WHERE profile_id = 1) * (nx.n + ny.n - o))"""
+
+
+@query(f"{_P5} SELECT read_id_a, read_id_b FROM pairs")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return alike_pairs(table(spark, d, "read_records"), "read_id", "seq", _likeness(spark, d)).select(F.col("a").alias("read_id_a"), F.col("b").alias("read_id_b"))
