@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import table
+from .leaks import leaked_windows
 from .near_reads import alike_pairs
 from .pieces import genome_pieces
+from .quality import NOT_PROSE, TYPES, text_statistics, text_types
 from .spans import shared_spans
 
 QUERIES: dict = {}
@@ -81,3 +86,58 @@ _P5 = """WITH r AS (SELECT DISTINCT read_id, upper(seq) AS s FROM read_records W
 @query(f"{_P5} SELECT read_id_a, read_id_b FROM pairs")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return alike_pairs(table(spark, d, "read_records"), "read_id", "seq", _likeness(spark, d)).select(F.col("a").alias("read_id_a"), F.col("b").alias("read_id_b"))
+
+
+_P6 = r"""WITH d AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents),
+    e AS (SELECT DISTINCT item_id AS id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items),
+    dw AS (SELECT DISTINCT id, array_to_string(w[i:i+12], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d)),
+    ew AS (SELECT DISTINCT id, array_to_string(w[i:i+12], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM e)),
+    leaks AS (SELECT dw.id AS doc_id, ew.id AS item_id, count(*) AS n_windows FROM dw JOIN ew ON dw.t = ew.t GROUP BY ALL)"""
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_windows(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id")
+
+
+@query(f"{_P6} SELECT doc_id, item_id FROM leaks")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).filter("same").select("doc_id", "item_id").distinct()
+
+
+@query()
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    """For each document and item, how many windows are equal or nearly so."""
+    return _leaks(spark, d).groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_item_windows"), F.max("similarity").alias("similarity"), F.max(F.col("same").cast("int")).alias("same"))
+
+
+_P8 = r"""WITH c AS (SELECT list(DISTINCT lower(word)) AS cw FROM common_words),
+    a AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w, len(regexp_replace(text, '[\p{L}\p{N} \t\r\n]', '', 'g')) AS n_marks,
+        list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM documents),
+    s AS (SELECT doc_id, n_marks, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS n_letters, len(l) AS n_lines,
+        len(list_filter(w, lambda x: list_contains(cw, lower(x)))) AS n_common,
+        len(list_filter(l, lambda x: x[-1] IN ('.', '!', '?', ':', ';', '…', '"', '''', ')'))) AS n_ended_lines FROM a, c)"""
+_P8_FOUND = "n_words = 0 OR (n_letters + n_marks >= 20 AND n_marks * 5 > n_letters + n_marks) OR n_letters > 9 * n_words OR (n_words >= 8 AND n_common * 5 < n_words) OR (n_lines >= 5 AND n_ended_lines * 4 < n_lines)"
+
+
+def _types(spark: SparkSession, d: str) -> DataFrame:
+    return text_types(table(spark, d, "documents"), "text", table(spark, d, "common_words"))
+
+
+@query(f"{_P8} SELECT doc_id FROM s WHERE {_P8_FOUND}")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    against = [F.coalesce(F.col(f"v_{name}") != TYPES.index("prose"), F.lit(False)) for name in NOT_PROSE]
+    # any vote against prose counts; a document all of whose votes are for prose has no posterior to overrule
+    return _types(spark, d).filter(reduce(or_, against) & F.col("p_prose").isNotNull()).select("document.doc_id")
+
+
+@query(f"""{_P8} SELECT doc_id, n_words, CASE WHEN n_words > 0 THEN n_letters / n_words END AS mean_word_length, CASE WHEN n_letters + n_marks > 0 THEN n_marks / (n_letters + n_marks) END AS mark_share,
+    CASE WHEN n_lines > 0 THEN n_ended_lines / n_lines END AS ended_share, CASE WHEN n_words > 0 THEN n_common / n_words END AS common_share FROM s""")
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    statistics = text_statistics(table(spark, d, "documents"), "text", table(spark, d, "common_words"))
+    return statistics.select("document.doc_id", "n_words", "mean_word_length", "mark_share", "ended_share", "common_share")
+
+
+@query()
+def p8_types(spark: SparkSession, d: str) -> DataFrame:
+    """Posterior text types; learned, so SQL has no equal."""
+    return _types(spark, d).select("document.doc_id", "text_type", *(F.round(f"p_{t}", 6).alias(f"p_{t}") for t in TYPES))
