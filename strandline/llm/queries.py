@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..shared import table
 from .leaks import leaked_windows
+from .mixing import mix_sources
 from .near_reads import alike_pairs
 from .pieces import genome_pieces
 from .quality import NOT_PROSE, TYPES, text_statistics, text_types
@@ -141,3 +142,20 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 def p8_types(spark: SparkSession, d: str) -> DataFrame:
     """Posterior text types; learned, so SQL has no equal."""
     return _types(spark, d).select("document.doc_id", "text_type", *(F.round(f"p_{t}", 6).alias(f"p_{t}") for t in TYPES))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query()
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0].select("document.doc_id", "source", "copy", "n_tokens", "shard", "place")
+
+
+@query()
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached, counted from the mixture itself."""
+    mixture, report = _mixture(spark, d)
+    counted = mixture.groupBy("source").agg(F.sum("n_tokens").alias("counted_tokens"), F.max(F.col("copy") + 1).alias("most_uses"))
+    return report.drop("most_uses").join(counted, "source", "left").withColumn("counted_tokens", F.coalesce("counted_tokens", F.lit(0)))
