@@ -85,7 +85,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reference_windows(spark: SparkSession, path: str) -> DataFrame:
     """``read_id, chrom, window_id``; read_id is the line's place in its file (one task reads one file, whole)."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("read_id", "line")).filter("line <> ''")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("read_id", "line")).filter("line <> ''")
     return rows.select(F.col("read_id").cast("long").alias("read_id"), F.split("line", " ")[0].alias("chrom"), F.split("line", " ")[1].cast("int").alias("window_id"))
 
 
