@@ -199,16 +199,10 @@ def _in_blocks(align: Callable[[list[str], list[str]], list[tuple]], a: pd.Serie
     return pd.DataFrame([x if x is not None else (None,) * len(names) for x in out], columns=names).astype(object)
 
 
-def local_align(
-    query: Column | str, ref: Column | str, match: int = 2, mismatch: int = 2, open_: int = 3, extend: int = 1, mask: int | None = None,
-    score_filter: int = 0, distance_filter: int = 1 << 30, scores: tuple[str, np.ndarray] | None = None,
-) -> Column:
-    """Struct of the best local alignment: score, score2 (best elsewhere), begins and ends (0-based, inclusive), mismatches, CIGAR with S, =, X, I, D.
-
-    A gap's first base costs ``open_``, each further one ``extend``. Ties: first reference end, then least query end, then nearest begins. score2 is the best of the
-    columns more than ``mask`` (default: half the query, at least 15) from the end. A score of 0 has begins and ends -1, no CIGAR and flag 1. The CIGAR is given from
-    ``score_filter`` on and for reference spans up to ``distance_filter``. scores: other letters and their matrix.
-    """
+def local_align_udf(
+    match: int = 2, mismatch: int = 2, open_: int = 3, extend: int = 1, mask: int | None = None, score_filter: int = 0, distance_filter: int = 1 << 30, scores: tuple[str, np.ndarray] | None = None
+):
+    """L4: a local aligner with its settings, as a function of a query and a reference column."""
     letters, values = scores or dna_scores(match, mismatch)
     table, names = _table(values), [x.split()[0] for x in LOCAL_SCHEMA.split(", ")]
 
@@ -216,7 +210,17 @@ def local_align(
     def align(queries: pd.Series, refs: pd.Series) -> pd.DataFrame:
         return _in_blocks(lambda x, y: _local_block(x, y, letters, table, open_, extend, mask, score_filter, distance_filter), queries, refs, names)
 
-    return align(query, ref)
+    return align
+
+
+def local_align(query: Column | str, ref: Column | str, **settings) -> Column:
+    """Struct of the best local alignment: score, score2 (best elsewhere), begins and ends (0-based, inclusive), mismatches, CIGAR with S, =, X, I, D.
+
+    A gap's first base costs ``open_``, each further one ``extend``. Ties: first reference end, then least query end, then nearest begins. score2 is the best of the
+    columns more than ``mask`` (default: half the query, at least 15) from the end. A score of 0 has begins and ends -1, no CIGAR and flag 1. The CIGAR is given from
+    ``score_filter`` on and for reference spans up to ``distance_filter``. scores: other letters and their matrix.
+    """
+    return local_align_udf(**settings)(query, ref)
 
 
 def better_strand(df: DataFrame, query: str, ref: str, **options) -> DataFrame:
@@ -300,19 +304,24 @@ def _edit_block(queries: list[str], targets: list[str], mode: str, path: bool, k
     return out
 
 
-def edit_align(query: Column | str, target: Column | str, mode: str = "NW", path: bool = False, k: int = -1, equal: list[tuple[str, str]] | None = None) -> Column:
-    """Struct of edit distance, all end locations with their starts (0-based, inclusive), CIGAR (=, X, I, D) and alphabet length.
-
-    mode: NW whole against whole, SHW the target's end is free, HW both ends are free. k: -1 for no bound, else distances above it give -1 and no locations.
-    equal: further pairs of letters that match. An empty query is 0 off at the target's start, or NW all deletions.
-    """
+def edit_align_udf(mode: str = "NW", path: bool = False, k: int = -1, equal: list[tuple[str, str]] | None = None):
+    """An edit-distance aligner with its settings, as a function of a query and a target column."""
     names = ["edit_distance", "locations", "cigar", "path", "alphabet_length"]
 
     @F.pandas_udf(EDIT_SCHEMA)
     def align(queries: pd.Series, targets: pd.Series) -> pd.DataFrame:
         return _in_blocks(lambda x, y: _edit_block(x, y, mode, path, k, equal or []), queries, targets, names)
 
-    return align(query, target)
+    return align
+
+
+def edit_align(query: Column | str, target: Column | str, mode: str = "NW", path: bool = False, k: int = -1, equal: list[tuple[str, str]] | None = None) -> Column:
+    """Struct of edit distance, all end locations with their starts (0-based, inclusive), CIGAR (=, X, I, D) and alphabet length.
+
+    mode: NW whole against whole, SHW the target's end is free, HW both ends are free. k: -1 for no bound, else distances above it give -1 and no locations.
+    equal: further pairs of letters that match. An empty query is 0 off at the target's start, or NW all deletions.
+    """
+    return edit_align_udf(mode, path, k, equal)(query, target)
 
 
 def pretty(path: Column | str, query: Column | str, target: Column | str) -> Column:

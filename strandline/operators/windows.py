@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import prefix_sums
+
 
 def load_genome(genome: DataFrame) -> DataFrame:
     """Distinct records, upper case, with their true length; a null sequence is empty. ``name`` stays whole."""
@@ -15,8 +17,7 @@ def load_genome(genome: DataFrame) -> DataFrame:
 def window_counts(genome: DataFrame, k: int, w: int) -> DataFrame:
     """Windows of each chromosome, and how many come before it in order of chrom_id."""
     n = genome.select("chrom_id", F.ceil(F.col("len") / (w - k + 1)).cast("int").alias("n_windows"))
-    # one short row a chromosome: numbers only
-    return n.withColumn("first_window", F.coalesce(F.sum("n_windows").over(Window.orderBy("chrom_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    return prefix_sums(n, "chrom_id", "n_windows", exclusive="first_window")
 
 
 def windows(genome: DataFrame, k: int, w: int, limit: int | None = None) -> DataFrame:

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import evaluate as E
-from ..operators.align import bisulfite_align, edit_align, local_align, pretty
+from ..functions.register import register_functions
+from ..operators.align import better_strand, bisulfite_align, edit_align, local_align, pretty
 from ..operators.hamming import best_hits, shifted_hamming
 from ..operators.minhash import bottom_sketch, candidates, capped, kmer_lists, minhash
+from ..operators.prefix import prefix_sums
 from ..operators.variants import call_variants, cigar_variants, concordance, concordance_summary, variant_counts
 from ..operators.windows import windows
 from ..options import Options
-from ..shared import remove, scratch, table
+from ..shared import scratch, table
 from ..sources import tables as X
 from ..sources.fastx import file_stats, global_ids, interleave, read_fastx, write_fastx
+from ..streaming.ingest import distinct_hits, hits_per_window, map_stream, merged_hits, run_to_files, stream_table
 from . import mapper
 from .registry import Registry
 from .scalar_queries import _G, _R, _W, genome, reads
@@ -312,9 +315,9 @@ def a16_reductions(spark, d):
 
 @query("SELECT chrom_id, l AS len, CAST(sum(l) OVER (ORDER BY chrom_id) AS BIGINT) AS inclusive, CAST(sum(l) OVER (ORDER BY chrom_id) - l AS BIGINT) AS exclusive FROM (SELECT DISTINCT chrom_id, coalesce(length(seq), 0) AS l, seq FROM genome)")
 def a18_prefix_sums(spark, d):
-    """Running sums over chromosomes (one short row each)."""
+    """Running sums of the lengths of all chromosomes."""
     g = genome(spark, d).select("chrom_id", F.col("len").cast("long").alias("len"))
-    return g.withColumn("inclusive", F.sum("len").over(Window.orderBy("chrom_id").rowsBetween(Window.unboundedPreceding, 0))).withColumn("exclusive", F.col("inclusive") - F.col("len"))
+    return prefix_sums(g, "chrom_id", "len", "inclusive", "exclusive")
 
 
 @query(f"WITH {_H}, k AS (SELECT *, row_number() OVER (PARTITION BY chrom_id ORDER BY hamming DESC, read_id) AS k FROM h) SELECT chrom_id, read_id, hamming FROM k WHERE k <= 3")
@@ -439,3 +442,34 @@ def e1_alignments(spark, d):
     """The whole plan: reads and genome to alignments."""
     r = table(spark, d, "read_records").select("read_id", "file_id", "read_id_in_file", F.upper("seq").alias("seq")).distinct()
     return mapper.alignments(r, table(spark, d, "genome")).select("read_id", "chrom_id", "pos", "strand", "score", "mapq", "cigar", "conversions")
+
+
+@query()
+def l7_better_strand(spark, d):
+    """Each read against its stretch, on the strand that scores more."""
+    return better_strand(_pairs(spark, d), "read_seq", "window_seq").select("read_id", "strand", "alignment.score", "alignment.cigar")
+
+
+@query(f"WITH {_R} SELECT read_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc, replace(seq, 'C', 'T') AS converted, regexp_matches(seq, '[^ACGTacgt]') AS ambiguous, CAST(greatest(length(seq) - 7, 0) AS INT) AS n FROM r WHERE seq IS NOT NULL")
+def sql_functions(spark, d):
+    """The functions by their SQL names."""
+    register_functions(spark)
+    reads(spark, d).createOrReplaceTempView("strandline_reads")
+    return spark.sql("SELECT read_id, revcomp(seq) AS rc, three_letter(seq) AS converted, is_ambiguous(seq) AS ambiguous, cast(size(kmers(seq, 8)) AS INT) AS n FROM strandline_reads WHERE seq IS NOT NULL")
+
+
+@query("SELECT date_trunc('hour', mapped_at)::TIMESTAMP::VARCHAR AS start, count(*) FILTER (coalesce(orientation IN (1, 2), false)) AS mapped, count(*) FILTER (NOT coalesce(orientation IN (1, 2), false)) AS unmapped FROM (SELECT DISTINCT ON (read_id, mapped_at) * FROM mapped_reads) WHERE mapped_at IS NOT NULL GROUP BY 1")
+def stream_hits_per_hour(spark, d):
+    """Hits as a stream, repeated ones dropped, counted by hour of event time."""
+    hits_ = distinct_hits(stream_table(spark, f"{d}/mapped_reads.parquet"), "365 days")
+    counted = run_to_files(hits_, scratch(spark, "hits"), scratch(spark, "log"))
+    return hits_per_window(counted, delay=None).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "mapped", "unmapped")
+
+
+@query(SQL["a8_best_hits"])
+def stream_best_hits(spark, d):
+    """Reads as a stream, mapped batch by batch, the best hit over all batches."""
+    stream = stream_table(spark, f"{d}/read_records.parquet").select("read_id", "file_id", "read_id_in_file", F.upper("seq").alias("seq")).filter(F.col("seq").isNotNull() & ~S.is_ambiguous("seq"))
+    path = scratch(spark, "mapped")
+    map_stream(stream, table(spark, d, "genome"), path, scratch(spark, "log"), Options(num_hash_functions=4, min_table_hits=2)).awaitTermination()
+    return merged_hits(spark, path).select("read_id", "hamming", "chrom_id", "pos", "orientation", "shift")

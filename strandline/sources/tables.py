@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prefix import prefix_sums
+
 SAM_SCHEMA = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext string, tlen string, seq string, qual string"
 
 
@@ -106,8 +108,8 @@ def fasta_index(genome: DataFrame, line_bases: int, line_end: int = 1) -> DataFr
     """The index of the FASTA file that holds ``genome`` (chrom_id, name, len) in order of chrom_id at so many bases a line."""
     body = F.col("len") + F.ceil(F.col("len") / line_bases) * line_end
     sized = genome.select("chrom_id", "name", F.col("len").cast("long").alias("length"), (F.octet_length("name") + 1 + line_end).cast("long").alias("head"), body.cast("long").alias("body"))
-    before = Window.orderBy("chrom_id").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumn("offset", F.coalesce(F.sum(F.col("head") + F.col("body")).over(before), F.lit(0)) + F.col("head")).select("chrom_id", "name", "length", "offset", F.lit(line_bases).alias("line_bases"), F.lit(line_bases + line_end).alias("line_width"))
+    placed = prefix_sums(sized.withColumn("both", F.col("head") + F.col("body")), "chrom_id", "both", exclusive="before")
+    return placed.select("chrom_id", "name", "length", (F.col("before") + F.col("head")).alias("offset"), F.lit(line_bases).alias("line_bases"), F.lit(line_bases + line_end).alias("line_width"))
 
 
 def read_fasta_index(spark: SparkSession, path: str) -> DataFrame:
