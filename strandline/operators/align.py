@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import mapq, parse_cigar, reverse_complement, three_letter
+from ..shared import spread
 
 LOW = -(1 << 20)
 BLOCK = 256
@@ -36,11 +37,11 @@ def read_scores(text: str) -> tuple[str, np.ndarray]:
 
 def _coded(texts: list[str], letters: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the letters, len(letters) for others, len(letters) + 1 beyond the end; and lengths."""
-    table = np.full(256, len(letters), dtype=np.int64)
+    table = np.full(256, len(letters), dtype=np.int32)
     for i, c in enumerate(letters):
         table[ord(c.lower())] = table[ord(c)] = i
     length = np.array([len(t) for t in texts])
-    out = np.full((len(texts), int(length.max(initial=0))), len(letters) + 1, dtype=np.int64)
+    out = np.full((len(texts), int(length.max(initial=0))), len(letters) + 1, dtype=np.int32)
     for i, t in enumerate(texts):
         out[i, : len(t)] = table[np.frombuffer(t.encode("latin-1", "replace"), dtype=np.uint8)]
     return out, length
@@ -55,26 +56,38 @@ def _table(scores: np.ndarray) -> np.ndarray:
     return out
 
 
+def _scores_of(table: np.ndarray):
+    """The scores of one query position of all pairs against all reference columns; a comparison instead of a lookup where only equality counts."""
+    n = len(table) - 2
+    match, other = int(table[0, 0]), int(table[0, 1]) if n > 1 else 0
+    if n > 1 and (table[:n, :n] == np.where(np.eye(n, dtype=bool), match, other)).all() and table[n, n] == other:
+        # letters that never match get codes that differ; what lies beyond an end only ever loses
+        return lambda q, r: np.where(r == np.where(q < n, q, -1), np.int32(match), np.int32(other))
+    narrow = table.astype(np.int32)
+    return lambda q, r: narrow[q, r]
+
+
 def _rows(q: np.ndarray, r: np.ndarray, table: np.ndarray, open_: int, extend: int, local: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row by row: H, gaps along the query (F) and along the reference (E), each (pairs, columns + 1)."""
     pairs, m = r.shape
-    column = np.arange(m + 1)
-    h = np.zeros((pairs, m + 1), dtype=np.int64)
+    score = _scores_of(table)
+    column = np.arange(m + 1, dtype=np.int32)
+    slope, back = column * np.int32(extend), np.int32(open_) + (column[1:] - np.int32(1)) * np.int32(extend)
+    h = np.zeros((pairs, m + 1), dtype=np.int32)
     if not local:
-        h[:, 1:] = -open_ - extend * (column[1:] - 1)
+        h[:, 1:] = -back
     f = np.full_like(h, LOW)
     for i in range(q.shape[1]):
-        f = np.maximum(h - open_, f - extend)
-        s = table[q[:, i, None], r]
+        f = np.maximum(h - np.int32(open_), f - np.int32(extend))
         now = np.empty_like(h)
-        now[:, 1:] = h[:, :-1] + s
+        np.add(h[:, :-1], score(q[:, i, None], r), out=now[:, 1:])
         now[:, 0] = 0 if local else -open_ - extend * i
         f[:, 0] = LOW
         np.maximum(now, f, out=now)
         if local:
             np.maximum(now, 0, out=now)
         e = np.full_like(h, LOW)
-        e[:, 1:] = np.maximum.accumulate(now + column * extend, axis=1)[:, :-1] - open_ - (column[1:] - 1) * extend
+        np.subtract(np.maximum.accumulate(now + slope, axis=1)[:, :-1], back, out=e[:, 1:])
         h = np.maximum(now, e)
         yield h, f, e
 
@@ -82,10 +95,11 @@ def _rows(q: np.ndarray, r: np.ndarray, table: np.ndarray, open_: int, extend: i
 def _best(q: np.ndarray, r: np.ndarray, table: np.ndarray, open_: int, extend: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Best local score, its first reference end with its least query end, and the best score of each column."""
     pairs, m = r.shape
-    top, where = np.zeros((pairs, m + 1), dtype=np.int64), np.zeros((pairs, m + 1), dtype=np.int64)
+    top, where = np.zeros((pairs, m + 1), dtype=np.int32), np.zeros((pairs, m + 1), dtype=np.int32)
     for i, (h, _, _) in enumerate(_rows(q, r, table, open_, extend, True)):
         better = h > top
-        top[better], where[better] = h[better], i
+        where[better] = i
+        np.maximum(top, h, out=top)
     score = top.max(axis=1)
     end = top.argmax(axis=1)
     return score, end - 1, where[np.arange(pairs), end], top[:, 1:]
@@ -101,7 +115,7 @@ def _window(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, fill: int, ba
 
 def _paths(q: np.ndarray, r: np.ndarray, n: np.ndarray, m: np.ndarray, table: np.ndarray, open_: int, extend: int) -> list[str]:
     """Operations (M, I, D) of the best whole alignment of each pair, all pairs traced back in step."""
-    kept = [tuple(x.astype(np.int32) for x in row) for row in _rows(q, r, table, open_, extend, False)]
+    kept = [(x, y.copy(), z) for x, y, z in _rows(q, r, table, open_, extend, False)]
     pairs = len(q)
     first = np.zeros((1, pairs, r.shape[1] + 1), np.int32)
     first[0, :, 1:] = -open_ - extend * np.arange(r.shape[1])
@@ -225,14 +239,14 @@ def local_align(query: Column | str, ref: Column | str, **settings) -> Column:
 
 def better_strand(df: DataFrame, query: str, ref: str, **options) -> DataFrame:
     """Adds ``alignment`` and ``strand``: the reverse complement only if it scores strictly more."""
-    both = df.withColumn("_f", local_align(query, ref, **options)).withColumn("_rq", reverse_complement(query)).withColumn("_r", local_align("_rq", ref, **options))
+    both = spread(df).withColumn("_f", local_align(query, ref, **options)).withColumn("_rq", reverse_complement(query)).withColumn("_r", local_align("_rq", ref, **options))
     return both.withColumn("strand", F.when(F.col("_r.score") > F.col("_f.score"), "-").otherwise("+")).withColumn("alignment", F.when(F.col("strand") == "-", F.col("_r")).otherwise(F.col("_f"))).drop("_f", "_r", "_rq")
 
 
 def _edit_block(queries: list[str], targets: list[str], mode: str, path: bool, k: int, equal: list[tuple[str, str]]) -> list[tuple]:
-    def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def coded(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
         length = np.array([len(t) for t in texts])
-        out = np.full((len(texts), int(length.max(initial=0))), -1, dtype=np.int64)
+        out = np.full((len(texts), int(length.max(initial=0))), fill, dtype=np.int64)
         for i, t in enumerate(texts):
             out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
         return out, length
@@ -244,8 +258,8 @@ def _edit_block(queries: list[str], targets: list[str], mode: str, path: bool, k
         return out
 
     def rows(q: np.ndarray, t: np.ndarray, free: bool) -> Iterator[np.ndarray]:
-        column = np.arange(t.shape[1] + 1)
-        d = np.zeros((len(q), len(column)), dtype=np.int64) + (0 if free else column)
+        column = np.arange(t.shape[1] + 1, dtype=np.int32)
+        d = np.zeros((len(q), len(column)), dtype=np.int32) + (np.int32(0) if free else column)
         yield d
         for i in range(q.shape[1]):
             now = d + 1
@@ -253,57 +267,68 @@ def _edit_block(queries: list[str], targets: list[str], mode: str, path: bool, k
             d = np.minimum.accumulate(now - column, axis=1) + column
             yield d
 
-    (q, n), (t, m) = coded(queries), coded(targets)
-    pairs = len(queries)
-    last = np.zeros((pairs, t.shape[1] + 1), dtype=np.int64)
-    for i, d in enumerate(rows(q, t, mode == "HW")):
-        last[n == i] = d[n == i]
-    column = np.arange(t.shape[1] + 1)
-    last = np.where(column <= m[:, None], last, 1 << 30)
+    (q, n), (t, m) = coded(queries, -1), coded(targets, -2)
+    pairs, column = len(queries), np.arange(t.shape[1] + 1)
+
+    def final(x: np.ndarray, length: np.ndarray, y: np.ndarray, free: bool) -> np.ndarray:
+        """Each pair's row of distances after its whole query."""
+        out = np.zeros((len(x), y.shape[1] + 1), dtype=np.int32)
+        for i, d in enumerate(rows(x, y, free)):
+            done = length == i
+            out[done] = d[done]
+        return out
+
+    last = np.where(column <= m[:, None], final(q, n, t, mode == "HW"), 1 << 30)
     if mode == "NW":
         last = np.where(column == m[:, None], last, 1 << 30)
     best = last.min(axis=1)
+    kept = ((k < 0) | (best <= k)) & (n > 0)
+    row, end = np.nonzero((last == best[:, None]) & kept[:, None])
+    start = np.zeros(len(row), dtype=np.int64)
+    if mode == "HW":  # where each starts: the reversed query against the reversed target, the farthest best end
+        for at in range(0, len(row), BLOCK):
+            x, e = row[at : at + BLOCK], end[at : at + BLOCK]
+            zero = np.zeros(len(x), dtype=np.int64)
+            back = final(_window(q[x], zero, n[x] - 1, -1, True), n[x], _window(t[x], zero, e - 1, -2, True), False)
+            good = (back == best[x, None]) & (np.arange(back.shape[1]) <= e[:, None])
+            start[at : at + BLOCK] = e - (back.shape[1] - 1 - good[:, ::-1].argmax(axis=1))
+    first = np.searchsorted(row, np.arange(pairs))
+    texts: list = [None] * pairs
+    if path:
+        some = np.flatnonzero(kept)
+        s, e = start[first[some]], end[first[some]]
+        for p, line in zip(some, _edit_paths(q[some], n[some], _window(t[some], s, e - 1, -2), e - s, rows)):
+            texts[p] = line
     out = []
     for p in range(pairs):
         letters = len({*queries[p], *targets[p]})
         if 0 <= k < best[p]:
             out.append((-1, [], None, None, letters))
-            continue
-        ends = np.flatnonzero(last[p] == best[p])
-        if n[p] == 0:
-            where = [{"start": None, "end": int(ends[0]) - 1 if mode != "NW" else int(m[p]) - 1}]
-            text = "D" * int(m[p]) if mode == "NW" else ""
-            out.append((int(best[p]), where, _runs(text) if path else None, text if path else None, letters))
-            continue
-        if mode == "HW":  # where each starts: the whole reversed query against the reversed target, the farthest best end
-            starts = []
-            for e in ends:
-                part = t[p : p + 1, : e][:, ::-1]
-                *_, d = rows(q[p : p + 1, : n[p]][:, ::-1], part, False)
-                starts.append(int(e - np.flatnonzero(d[0] == best[p])[-1]))
+        elif n[p] == 0:
+            text = ("D" * int(m[p]) if mode == "NW" else "") if path else None
+            out.append((int(best[p]), [{"start": None, "end": int(m[p]) - 1 if mode == "NW" else -1}], None if text is None else _runs(text), text, letters))
         else:
-            starts = [0] * len(ends)
-        where = [{"start": s, "end": int(e) - 1} for s, e in zip(starts, ends)]
-        text = None
-        if path:
-            x, y = q[p : p + 1, : n[p]], t[p : p + 1, starts[0] : ends[0]]
-            full = [d[0] for d in rows(x, y, False)]
-            i, j, ops = int(n[p]), y.shape[1], []
-            while i or j:
-                if i and full[i - 1][j] + 1 == full[i][j]:
-                    ops.append("I")
-                    i -= 1
-                elif j and full[i][j - 1] + 1 == full[i][j]:
-                    ops.append("D")
-                    j -= 1
-                else:
-                    ops.append("X" if full[i - 1][j - 1] + 1 == full[i][j] else "=")
-                    i, j = i - 1, j - 1
-            text = "".join(reversed(ops))
-        out.append((int(best[p]), where, _runs(text) if text is not None else None, text, letters))
+            stop = first[p + 1] if p + 1 < pairs else len(row)
+            where = [{"start": int(a), "end": int(b) - 1} for a, b in zip(start[first[p] : stop], end[first[p] : stop])]
+            out.append((int(best[p]), where, None if texts[p] is None else _runs(texts[p]), texts[p], letters))
     return out
 
 
+def _edit_paths(q: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray, rows: Callable) -> list[str]:
+    """Operations (=, X, I, D) of each pair; an insertion is preferred, then a deletion, seen from the end."""
+    d = np.stack(list(rows(q, t, False)))
+    i, j, p, steps = n.copy(), m.copy(), np.arange(len(n)), []
+    while ((i > 0) | (j > 0)).any():
+        here, up, left = d[i, p, j], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        insert = (i > 0) & (d[up, p, j] + 1 == here)
+        delete = ~insert & (j > 0) & (d[i, p, left] + 1 == here)
+        both = ~insert & ~delete & (i > 0) & (j > 0)
+        steps.append(np.where(insert, ord("I"), np.where(delete, ord("D"), np.where(both, np.where(d[up, p, left] == here, ord("="), ord("X")), 0))).astype(np.uint8))
+        i, j = np.where(insert | both, up, i), np.where(delete | both, left, j)
+    lines = np.stack(steps, axis=1)[:, ::-1] if steps else np.zeros((len(n), 0), np.uint8)
+    return [bytes(x[x > 0]).decode() for x in lines]
+
+
 def edit_align_udf(mode: str = "NW", path: bool = False, k: int = -1, equal: list[tuple[str, str]] | None = None):
     """An edit-distance aligner with its settings, as a function of a query and a target column."""
     names = ["edit_distance", "locations", "cigar", "path", "alphabet_length"]
@@ -378,7 +403,7 @@ def bisulfite_align(pairs: DataFrame, query: str, ref: str, **options) -> DataFr
     The query and its reverse complement, both C to T converted, are aligned with the converted reference, then rescored on the original bases; + unless - scores more.
     """
     rc, converted = reverse_complement(query), three_letter(F.upper(ref))
-    both = pairs.withColumn("_rc", rc).withColumn("_q", three_letter(query)).withColumn("_rq", three_letter(rc)).withColumn("_ref", converted)
+    both = spread(pairs).withColumn("_rc", rc).withColumn("_q", three_letter(query)).withColumn("_rq", three_letter(rc)).withColumn("_ref", converted)
     both = both.withColumn("_f", local_align("_q", "_ref", **options)).withColumn("_r", local_align("_rq", "_ref", **options))
     both = both.withColumn("_fs", rescored(F.col("_f"), F.col(query), F.upper(ref))).withColumn("_rs", rescored(F.col("_r"), F.col("_rc"), F.upper(ref)))
     plus = F.col("_fs.score") >= F.col("_rs.score")

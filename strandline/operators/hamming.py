@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrow import flat_bytes
 from ..functions.sequence import clean_reads, extend_window, reverse_complement
+from ..shared import spread
 from .minhash import candidates, minhash
 from .windows import windows
 
@@ -72,7 +73,7 @@ def shifted_hamming(pairs: DataFrame, ratio: float) -> DataFrame:
     Forward before reverse complement and the lowest shift at ties. Above int(length * ratio), or if the read is longer than the
     window, the orientation is 3 and the others are null. Pairs with a null text, and empty reads, count as not hit.
     """
-    asked = pairs.withColumn("read_rc", reverse_complement("read_seq"))
+    asked = spread(pairs).withColumn("read_rc", reverse_complement("read_seq"))
     keep = [f for f in pairs.schema.fields if f.name not in ("window_seq", "read_seq")]
     new = [T.StructField("orientation", T.ByteType()), T.StructField("hamming", T.IntegerType()), T.StructField("shift", T.IntegerType())]
     return asked.mapInArrow(_shifted(ratio), T.StructType([*keep, *new]))

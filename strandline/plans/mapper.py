@@ -13,6 +13,7 @@ from ..operators.hamming import map_reads
 from ..operators.variants import call_variants
 from ..operators.windows import load_genome
 from ..options import Options
+from ..shared import spread
 
 
 def mapped(reads: DataFrame, genome: DataFrame, options: Options = Options()) -> DataFrame:
@@ -50,7 +51,7 @@ def alignments(reads: DataFrame, genome: DataFrame, options: Options = Options()
 
 def edit_mapper(pairs: DataFrame) -> DataFrame:
     """L8 in place of L1: both strands by edit distance, three letters, free ends in the reference; the score is the query's length less the distance."""
-    both = pairs.withColumn("_rc", reverse_complement("query")).withColumn("_ref", three_letter("ref"))
+    both = spread(pairs).withColumn("_rc", reverse_complement("query")).withColumn("_ref", three_letter("ref"))
     both = both.withColumn("_f", edit_align(three_letter("query"), F.col("_ref"), "HW", True)).withColumn("_r", edit_align(three_letter("_rc"), F.col("_ref"), "HW", True))
     plus = F.col("_f.edit_distance") <= F.col("_r.edit_distance")
     best, other = F.when(plus, F.col("_f")).otherwise(F.col("_r")), F.when(plus, F.col("_r")).otherwise(F.col("_f"))

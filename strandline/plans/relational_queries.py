@@ -15,7 +15,7 @@ from ..operators.prefix import prefix_sums
 from ..operators.variants import call_variants, cigar_variants, concordance, concordance_summary, variant_counts
 from ..operators.windows import windows
 from ..options import Options
-from ..shared import scratch, table
+from ..shared import scratch, spread, table
 from ..sources import tables as X
 from ..sources.fastx import file_stats, global_ids, interleave, read_fastx, write_fastx
 from ..streaming.ingest import distinct_hits, hits_per_window, map_stream, merged_hits, run_to_files, stream_table
@@ -409,7 +409,7 @@ def l8_edit_distance(spark, d):
 @query(f"WITH {_P} SELECT read_id, levenshtein(substr(ext, 1, length(seq)), seq) AS d FROM p")
 def l8_edit_align(spark, d):
     """Whole against whole, by the aligner."""
-    return _pairs(spark, d).select("read_id", edit_align("read_seq", F.expr("left(window_seq, length(read_seq))")).alias("e")).select("read_id", F.col("e.edit_distance").cast("long").alias("d"))
+    return spread(_pairs(spark, d)).select("read_id", edit_align("read_seq", F.expr("left(window_seq, length(read_seq))")).alias("e")).select("read_id", F.col("e.edit_distance").cast("long").alias("d"))
 
 
 @query()
@@ -417,7 +417,7 @@ def l9_edit_locations(spark, d):
     """Each oriented read anywhere in its stretch, with path (L8 - L12, F28); tested against a plain table."""
     h = hits(spark, d).filter("n > 0")
     pairs = h.select("read_id", "oriented", F.substring("whole", F.greatest(F.col("pos") - 40, F.lit(0)) + 1, F.col("n") + 60).alias("target"))
-    found = pairs.withColumn("e", edit_align("oriented", "target", "HW", True))
+    found = spread(pairs).withColumn("e", edit_align("oriented", "target", "HW", True))
     shown = found.withColumn("p", pretty(F.col("e.path"), F.col("oriented"), F.expr("substring(target, e.locations[0].start + 1)")))
     return shown.select("read_id", "e.edit_distance", F.col("e.locations")[0]["start"].alias("start"), F.col("e.locations")[0]["end"].alias("stop"), "e.cigar", F.col("p.signs").alias("signs"))
 
@@ -427,7 +427,7 @@ def l1_local_align(spark, d):
     """Each oriented read against its stretch (L1 - L5); tested against a plain table."""
     h = hits(spark, d).filter("n > 0")
     pairs = h.select("read_id", "oriented", F.substring("whole", F.greatest(F.col("pos") - 40, F.lit(0)) + 1, F.col("n") + 60).alias("target"))
-    return pairs.select("read_id", local_align("oriented", "target").alias("a")).select("read_id", "a.*")
+    return spread(pairs).select("read_id", local_align("oriented", "target").alias("a")).select("read_id", "a.*")
 
 
 @query()

@@ -53,3 +53,9 @@ def small_rows(df: DataFrame, limit: int) -> list | None:
     """The rows of ``df`` if there are at most ``limit`` of them, else None: the check before a broadcast."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, before work that takes far longer than moving the rows (adaptive execution joins small partitions, by bytes)."""
+    spark = df.sparkSession
+    return df.repartition(max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism))

@@ -144,14 +144,14 @@ def test_other_matrices(spark):
 
 
 def test_reverse_strand_only_if_better(spark):
-    df = spark.createDataFrame([("ACGTTGCAAT", "ATTGCAACGT"), ("ACGT", "ACGT")], "q string, r string")
-    assert [r.strand for r in better_strand(df, "q", "r").collect()] == ["-", "+"]
+    df = spark.createDataFrame([(0, "ACGTTGCAAT", "ATTGCAACGT"), (1, "ACGT", "ACGT")], "id int, q string, r string")
+    assert [r.strand for r in better_strand(df, "q", "r").orderBy("id").collect()] == ["-", "+"]
 
 
 def test_bisulfite_rescoring(spark):
     ref = "ACGTTCAGGCATCCATGACG"
-    df = spark.createDataFrame([(ref.replace("C", "T"), ref), (ref, ref), (ref.replace("T", "C"), ref)], "q string, r string")
-    rows = bisulfite_align(df, "q", "r").collect()
+    df = spark.createDataFrame([(0, ref.replace("C", "T"), ref), (1, ref, ref), (2, ref.replace("T", "C"), ref)], "id int, q string, r string")
+    rows = bisulfite_align(df, "q", "r").orderBy("id").collect()
     n, t = ref.count("C"), ref.count("T")
     assert (rows[0].strand, rows[0].score, rows[0].conversions) == ("+", 2 * len(ref) - 4 * n, n)
     assert (rows[1].score, rows[1].conversions) == (2 * len(ref), 0) and 0 < rows[1].mapq <= 254
