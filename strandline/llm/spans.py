@@ -109,7 +109,10 @@ class SpanIndex:
         return name
 
     def add(self, records: DataFrame) -> DataFrame:
-        """``records``: id BIGINT, seq STRING. Result: id, first, last (window starts) of each place whose seed got its second owner."""
+        """``records``: id BIGINT, seq STRING. Result: id, first, last (window starts) of each place whose seed got its second owner.
+
+        The result reads the index's files, so it must be used before ``close``.
+        """
         step = f"{self.folder}/places-{len(self.places)}"
         records.select("id", "seq").mapInArrow(_seeds(self.length), "seed long, id long, first int, last int").write.parquet(step)
         postings = self.spark.read.parquet(step)
@@ -125,10 +128,8 @@ class SpanIndex:
             # older places of these seeds that were not shared before
             met = shared.filter(F.col("old_lo") == F.col("old_hi")).select("seed")
             found = found.unionByName(self.spark.read.parquet(*self.places).join(met, "seed", "left_semi"))
-        out = f"{self.folder}/found-{len(self.places)}"
-        found.select("id", "first", "last").write.parquet(out)
         self.places.append(step)
-        return self.spark.read.parquet(out)
+        return found.select("id", "first", "last")
 
     def compact(self) -> None:
         """Merge the runs of any level that has ``fan_in`` of them into one of the next level."""
@@ -163,7 +164,7 @@ def _merged(starts: DataFrame, length: int, tile: int = TILE) -> DataFrame:
     return islands(islands(spans, ["id", "tile"]).select("id", "a", "b"), ["id"]).select("id", F.col("a").alias("span_start"), F.col("b").alias("span_end"))
 
 
-def shared_spans(records: DataFrame, id: str, seq: str, length: int, batches: int = 4, fan_in: int = 2) -> DataFrame:
+def shared_spans(records: DataFrame, id: str, seq: str, length: int, batches: int = 3, fan_in: int = 2) -> DataFrame:
     """``id, span_start, span_end``: the longest unbroken runs of positions that lie in a stretch of ``length`` bases which
     also stands, apart from case, in a record of another id.
 
