@@ -68,10 +68,10 @@ def write_vcf(variants: DataFrame, path: str) -> None:
     vcf_lines(variants).orderBy("chrom", "pos", "ref", "alt").select("value").write.mode("append").text(f"{path}/part=1")
 
 
-def read_variants(spark: SparkSession, path: str) -> DataFrame:
-    """``sample`` (the file's name), pos, ref, alt of files with commas or tabs; lines that don't have a number first are skipped."""
+def read_variants(spark: SparkSession, path: str, sample: str = r"([^/]+)$") -> DataFrame:
+    """``sample`` (a part of the file's path, by default its name), pos, ref, alt of files with commas or tabs; lines that don't begin with a number are skipped."""
     parts = F.split("value", "[,\t]")
-    rows = _lines(spark, path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("sample"), *_typed(parts, "pos int, ref string, alt string"))
+    rows = _lines(spark, path).select(F.regexp_extract(F.input_file_name(), sample, 1).alias("sample"), *_typed(parts, "pos int, ref string, alt string"))
     return rows.filter(F.col("pos").isNotNull())
 
 
