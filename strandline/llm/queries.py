@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..shared import table
 from .leaks import leaked_windows
 from .mixing import mix_sources
-from .near_reads import alike_pairs
+from .near_reads import alike_groups, alike_pairs
 from .pieces import genome_pieces
 from .quality import NOT_PROSE, TYPES, text_statistics, text_types
 from .spans import shared_spans
@@ -89,6 +89,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return alike_pairs(table(spark, d, "read_records"), "read_id", "seq", _likeness(spark, d)).select(F.col("a").alias("read_id_a"), F.col("b").alias("read_id_b"))
 
 
+
+@query(f"""{_P5}, l AS (SELECT x, y FROM (SELECT read_id_a AS x, read_id_b AS y FROM pairs UNION ALL SELECT read_id_b, read_id_a FROM pairs)), links AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+    SELECT n.read_id, coalesce(links.n, 0) AS n_links FROM n LEFT JOIN links ON links.x = n.read_id""")
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    return alike_groups(table(spark, d, "read_records"), "read_id", "seq", _likeness(spark, d)).select(F.col("id").alias("read_id"), "n_links")
+
+
+@query()
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of each read and its hits' least and mean distance in mapped_reads."""
+    groups = alike_groups(table(spark, d, "read_records"), "read_id", "seq", _likeness(spark, d))
+    hamming = table(spark, d, "mapped_reads").filter("hamming >= 0").groupBy("read_id").agg(F.min("hamming").alias("hamming"))
+    return groups.join(hamming, F.col("id") == F.col("read_id"), "left").select(F.col("id").alias("read_id"), F.col("group").alias("group_id"), "n_links", "hamming")
+
+
 _P6 = r"""WITH d AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents),
     e AS (SELECT DISTINCT item_id AS id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items),
     dw AS (SELECT DISTINCT id, array_to_string(w[i:i+12], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d)),
