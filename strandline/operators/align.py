@@ -384,17 +384,21 @@ def _walked(cigar: Column, ref_begin: Column, query: Column, ref: Column, span:
     return F.aggregate(parse_cigar(cigar), start, step)["pairs"]
 
 
-def rescored(alignment: Column, query: Column, ref: Column, match: int = 2, mismatch: int = 2, span: int | None = None) -> Column:
-    """Struct (score, score2, conversions) after the original bases are looked at again along the CIGAR of a three-letter alignment.
+def aligned_pairs(alignment: Column, query: Column, ref: Column, span: int | None = None) -> Column:
+    """The aligned columns of an alignment as array of (q, r), from the texts as they were before conversion."""
+    return _walked(alignment["cigar"], alignment["ref_begin"], query, ref, span)
+
+
+def rescored(alignment: Column, pairs: Column, match: int = 2, mismatch: int = 2) -> Column:
+    """Struct (score, score2, conversions) after the original bases (``aligned_pairs``, as a column of its own) are looked at again.
 
     A query C on a reference T matched only after conversion: the match is taken back. A query T on a reference C is a conversion: it is counted and its match taken
-    back as well. Scores don't go below 0. span: look at the first so many bases only.
+    back as well. Scores don't go below 0.
     """
-    pairs = _walked(alignment["cigar"], alignment["ref_begin"], query, ref, span)
     count = lambda q, r: F.size(F.filter(pairs, lambda x: (x["q"] == q) & (x["r"] == r)))
-    conversions, false = count("T", "C"), count("C", "T")
-    off = (conversions + false) * (match + mismatch)
-    return F.struct(F.greatest(F.lit(0), alignment["score"] - off).alias("score"), F.greatest(F.lit(0), alignment["score2"] - off).alias("score2"), conversions.alias("conversions"))
+    found = F.struct(count("T", "C").alias("conversions"), count("C", "T").alias("false"))
+    # one element, so that the counts are made once
+    return F.transform(F.array(found), lambda n: F.struct(*(F.greatest(F.lit(0), alignment[s] - (n["conversions"] + n["false"]) * (match + mismatch)).alias(s) for s in ("score", "score2")), n["conversions"].alias("conversions")))[0]
 
 
 def bisulfite_align(pairs: DataFrame, query: str, ref: str, **options) -> DataFrame:
@@ -405,8 +409,9 @@ def bisulfite_align(pairs: DataFrame, query: str, ref: str, **options) -> DataFr
     rc, converted = reverse_complement(query), three_letter(F.upper(ref))
     both = spread(pairs).withColumn("_rc", rc).withColumn("_q", three_letter(query)).withColumn("_rq", three_letter(rc)).withColumn("_ref", converted)
     both = both.withColumn("_f", local_align("_q", "_ref", **options)).withColumn("_r", local_align("_rq", "_ref", **options))
-    both = both.withColumn("_fs", rescored(F.col("_f"), F.col(query), F.upper(ref))).withColumn("_rs", rescored(F.col("_r"), F.col("_rc"), F.upper(ref)))
+    both = both.withColumn("_fp", aligned_pairs(F.col("_f"), F.col(query), F.upper(ref))).withColumn("_rp", aligned_pairs(F.col("_r"), F.col("_rc"), F.upper(ref)))
+    both = both.withColumn("_fs", rescored(F.col("_f"), F.col("_fp"))).withColumn("_rs", rescored(F.col("_r"), F.col("_rp")))
     plus = F.col("_fs.score") >= F.col("_rs.score")
     out = both.withColumn("strand", F.when(plus, "+").otherwise("-")).withColumn("alignment", F.when(plus, F.col("_f")).otherwise(F.col("_r"))).withColumn("_s", F.when(plus, F.col("_fs")).otherwise(F.col("_rs")))
     out = out.withColumn("score", F.col("_s.score")).withColumn("score2", F.col("_s.score2")).withColumn("conversions", F.col("_s.conversions")).withColumn("mapq", mapq("score", "score2"))
-    return out.drop("_rc", "_q", "_rq", "_ref", "_f", "_r", "_fs", "_rs", "_s")
+    return out.drop("_rc", "_q", "_rq", "_ref", "_f", "_r", "_fp", "_rp", "_fs", "_rs", "_s")
