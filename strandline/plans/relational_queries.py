@@ -9,7 +9,7 @@ from ..functions import sequence as S
 from ..operators import evaluate as E
 from ..functions.register import register_functions
 from ..operators.align import better_strand, bisulfite_align, edit_align, local_align, pretty
-from ..operators.hamming import best_hits, shifted_hamming
+from ..operators.hamming import shifted_hamming
 from ..operators.minhash import bottom_sketch, candidates, capped, kmer_lists, minhash
 from ..operators.prefix import prefix_sums
 from ..operators.variants import call_variants, cigar_variants, concordance, concordance_summary, variant_counts
