@@ -120,6 +120,7 @@ def text_types(documents: DataFrame, text: str, common: DataFrame, word: str = "
     spark = documents.sparkSession
     voted = text_statistics(documents, text, common, word)
     voted = voted.select("*", *(_vote(name).alias(f"v_{name}") for name in FUNCTIONS))
+    voted = cut_lineage(voted, "statistics")  # without the texts; they are read and counted once
     names = [f"v_{name}" for name in FUNCTIONS]
     code = sum((F.coalesce(F.col(v) + 1, F.lit(0)) * (len(TYPES) + 1) ** i for i, v in enumerate(names)), F.lit(0))
     coded = voted.withColumn("pattern", code)
