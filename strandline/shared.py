@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,22 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, before work that takes far longer than moving the rows (adaptive execution joins small partitions, by bytes)."""
     spark = df.sparkSession
     return df.repartition(max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once a Spark application; where it is installed there, nothing changes."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-strandline-"), "strandline.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(spark.sparkContext.applicationId)
