@@ -9,11 +9,11 @@ One task reads one file, as these formats hold no marks to split at; ids come fr
 
 from __future__ import annotations
 
-import glob
-import gzip
-import os
+import fnmatch
+import io
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,9 +27,31 @@ class BrokenRecord(ValueError):
     """A FASTQ record without qualities, or with another number of them than bases."""
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (file, hdfs, s3, ...) and the path there."""
+    return fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri(f"file://{path[5:]}") if path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def files_of(path: str) -> list[str]:
+    """The files of a path, a folder, a pattern (its last part only), or several of these divided by commas, sorted; hidden ones are left out."""
+    found = []
+    for part in path.split(","):
+        system, at = _located(part)
+        folder, _, name = at.rpartition("/")
+        prefix = part[: len(part) - len(at)]
+        if any(c in name for c in "*?["):
+            found += [prefix + f.path for f in system.get_file_info(fs.FileSelector(folder or ".")) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, name)]
+        elif system.get_file_info(at).type == fs.FileType.Directory:
+            found += [prefix + f.path for f in system.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.File]
+        else:
+            found.append(part)
+    return sorted(f for f in found if not f.rpartition("/")[2].startswith(("_", ".")))
+
+
 def is_gzip(path: str) -> bool:
     """S2."""
-    with open(path, "rb") as f:
+    system, at = _located(path)
+    with system.open_input_stream(at, compression=None) as f:
         return f.read(2) == GZIP_MAGIC
 
 
@@ -38,7 +60,8 @@ def records(path: str) -> Iterator[tuple[str, str, str | None]]:
 
     Empty lines are skipped; what stands before the first > or @ too. A record whose qualities don't have the sequence's length raises BrokenRecord.
     """
-    with gzip.open(path, "rt", newline=None) if is_gzip(path) else open(path) as f:
+    system, at = _located(path)
+    with system.open_input_stream(at, compression="gzip" if is_gzip(path) else None) as raw, io.TextIOWrapper(raw, encoding="utf-8") as f:
         header, seq = None, []
         lines = iter(f)
         for line in lines:
@@ -73,9 +96,7 @@ class FastxReader(DataSourceReader):
     """mode: FAILFAST (default), or STOP: a broken record ends its file, with the records before it kept."""
 
     def __init__(self, options: dict):
-        path = options.get("path", "")
-        found = sorted(x for p in path.split(",") for x in (glob.glob(f"{p}/*") if os.path.isdir(p) else glob.glob(p) or [p]))
-        self.paths = [p for p in found if not os.path.basename(p).startswith(("_", "."))]
+        self.paths = files_of(options.get("path", ""))
         self.mode = options.get("mode", "FAILFAST").upper()
 
     def partitions(self) -> list[InputPartition]:

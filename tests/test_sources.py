@@ -26,6 +26,7 @@ def test_reading_files_and_ids(spark, tmp_path):
     assert [(r.global_read_id, r.header, r.seq, r.qual) for r in rows] == [(0, "a", "AC", "II"), (1, "b", "A", "I"), (2, "c", "ACG", "@@@")]
     with pytest.raises(Exception, match="0 qualities"):
         read_fastx(spark, str(tmp_path)).collect()
+    assert read_fastx(spark, f"file://{tmp_path}/*.fq").count() == 2 and read_fastx(spark, f"file:{tmp_path}/1.fq,{tmp_path}/1.fq").count() == 4
     both = interleave(*(read_fastx(spark, str(tmp_path / "1.fq")) for _ in range(2))).orderBy("read_id").collect()
     assert [(r.read_id, r.header) for r in both] == [(0, "a"), (1, "a"), (2, "b"), (3, "b")]
 
