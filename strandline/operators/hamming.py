@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrow import flat_bytes
+from ..functions.arrow import bounded, flat_bytes
 from ..functions.sequence import clean_reads, extend_window, reverse_complement
 from ..shared import spread
 from .minhash import candidates, minhash
@@ -43,7 +43,7 @@ def _distances(window: np.ndarray, w_len: np.ndarray, read: np.ndarray, r_len: n
 
 def _shifted(ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "window_seq"):
             names = batch.schema.names
             window, w_len = matrix(batch.column(names.index("window_seq")))
             fwd, r_len = matrix(batch.column(names.index("read_seq")))

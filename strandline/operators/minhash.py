@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrow import flat_bytes, packed_kmers
+from ..functions.arrow import bounded, flat_bytes, packed_kmers
 
 #: fixed values: the 64-bit finalizer of MurmurHash3 (public domain)
 _MUL_1, _MUL_2, _SHIFT = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
@@ -59,7 +59,7 @@ def _take(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
 
 def _signatures(k: int, hashes: int, mask: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "seq"):
             kmers, _, rows, first = _canonical(batch, k)
             keep = [n for n in batch.schema.names if n != "seq"]
             for h in range(hashes) if len(rows) else ():
@@ -83,7 +83,7 @@ def minhash(df: DataFrame, ids: list[str], seq: str, k: int = 16, hashes: int =
 
 def _sketches(k: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "seq"):
             kmers, row, rows, _ = _canonical(batch, k)
             hashed = murmur64(kmers)
             order = np.lexsort((hashed, row))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrow import flat_bytes
+from ..functions.arrow import bounded, flat_bytes
 
 START, BARE, QUOTED, CLOSING, BROKEN = range(5)
 CHUNK = 4096
@@ -55,7 +55,7 @@ def _walk(classes: np.ndarray, offsets: np.ndarray, state: np.ndarray, each: np.
 
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First pass: each chunk's transition map, three bits for each start state."""
-    for batch in batches:
+    for batch in bounded(batches, "chunk"):
         raw, offsets = flat_bytes(batch.column("chunk"))
         ends = _walk(_CLASS[raw], offsets, np.tile(np.arange(5, dtype=np.uint8), (batch.num_rows, 1)), None)
         packed = sum(ends[:, s].astype(np.int32) << 3 * s for s in range(5))
@@ -64,7 +64,7 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Second pass: the (parts of) fields of each chunk, unquoted, from its true start state."""
-    for batch in batches:
+    for batch in bounded(batches, "chunk"):
         raw, offsets = flat_bytes(batch.column("chunk"))
         first = batch.column("start_state").to_numpy(zero_copy_only=False).astype(np.uint8)
         n, classes = batch.num_rows, _CLASS[raw]
