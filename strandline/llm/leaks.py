@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import mix64
+from ..functions.arrow import bounded, mix64
 
 WORD = r"[\\p{L}\\p{N}]+"
 #: 13 words: the length of a passage that counts as leaked
@@ -69,7 +69,7 @@ def _block(prints: np.ndarray, i: int, radius: int) -> np.ndarray:
 
 def _emit_windows(width: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "hashes"):
             prints, row, at = _windows(batch, width, shingle)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(prints.view(np.int64))], names=["id", "at", "print"])
 
@@ -85,7 +85,7 @@ def _search(prints: np.ndarray, ids: np.ndarray, ats: np.ndarray, width: int, sh
             keys = _block(prints, i, radius)
             order = np.argsort(keys, kind="stable")
             tables.append((keys[order], order))
-        for batch in batches:
+        for batch in bounded(batches, "hashes"):
             mine, row, at = _windows(batch, width, shingle)
             doc_w, item_w = [], []
             for i, (keys, order) in enumerate(tables):

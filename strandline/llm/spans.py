@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import clean_windows, flat_codes, mix64, packed_kmers
+from ..functions.arrow import bounded, clean_windows, code_pieces, flat_codes, mix64, packed_kmers
 from ..shared import remove, scratch, shuffle_partitions
 
 TILE = 1 << 16
@@ -47,21 +47,22 @@ def _seeds(length: int):
     q = seed_length(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, begins = flat_codes(batch.column(1))
-            starts = np.flatnonzero(clean_windows(codes, length))
-            if not len(starts):
-                continue
-            kmers = packed_kmers(codes, q)
-            at = _least(mix64(kmers), length - q + 1)[starts]
-            new = np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)])
-            first = np.flatnonzero(new)
-            last = np.concatenate([first[1:], [len(starts)]]) - 1
-            row = np.searchsorted(begins, starts[first], side="right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kmers[at[first]].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array((starts[first] - begins[row]).astype(np.int32)), pa.array((starts[last] - begins[row]).astype(np.int32))],
-                names=["seed", "id", "first", "last"],
-            )
+        for batch in bounded(batches, "seq"):
+            for codes, begins, numbers, before in code_pieces(batch.column("seq"), length - 1):
+                starts = np.flatnonzero(clean_windows(codes, length))
+                if not len(starts):
+                    continue
+                kmers = packed_kmers(codes, q)
+                at = _least(mix64(kmers), length - q + 1)[starts]
+                new = np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)])
+                first = np.flatnonzero(new)
+                last = np.concatenate([first[1:], [len(starts)]]) - 1
+                row = np.searchsorted(begins, starts[first], side="right") - 1
+                place = before - begins[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kmers[at[first]].view(np.int64)), batch.column("id").take(pa.array(numbers[row])), pa.array((starts[first] + place).astype(np.int32)), pa.array((starts[last] + place).astype(np.int32))],
+                    names=["seed", "id", "first", "last"],
+                )
 
     return run
 
@@ -72,9 +73,9 @@ def _windows(length: int):
     words = [*range(0, length - q, q), length - q]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "seq"):
             codes, begins = flat_codes(batch.column("seq"))
-            kmers, clean = packed_kmers(codes, q), clean_windows(codes, length)
+            kmers = packed_kmers(codes, q)
             ranges = batch.column("ranges")
             flat = ranges.flatten()
             row = np.repeat(np.arange(len(ranges)), ranges.value_lengths().to_numpy(zero_copy_only=False))
@@ -83,7 +84,6 @@ def _windows(length: int):
             row = np.repeat(row, count)
             start = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             place = begins[row] + start
-            assert clean[place].all()
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(start.astype(np.int32)), *(pa.array(kmers[place + w].view(np.int64)) for w in words)], names=["id", "start", *(f"w{i}" for i in range(len(words)))])
 
     return run, [f"w{i}" for i in range(len(words))]

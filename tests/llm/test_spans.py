@@ -60,6 +60,14 @@ def test_a_batch_finds_what_came_before(spark):
     index.close()
 
 
+def test_rows_longer_than_a_piece(spark):
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("ACGT") for _ in range(2_200_000))
+    rows = [(0, text), (1, text[1_048_500:1_048_700]), (2, text[5:80] + "N" + text[-70:])]
+    got = sorted((r.id, r.span_start, r.span_end) for r in shared_spans(spark.createDataFrame(rows, "id int, seq string"), "id", "seq", 64).collect())
+    assert got == [(0, 5, 80), (0, 1_048_500, 1_048_700), (0, 2_199_930, 2_200_000), (1, 0, 200), (2, 0, 75), (2, 76, 146)]
+
+
 def test_no_rows_and_long_runs(spark):
     df = spark.createDataFrame([(0, "ACGT" * 50_000), (1, "CGTA" * 30_000)], "id int, seq string")
     assert shared_spans(df.filter("id > 5"), "id", "seq", 64).count() == 0
