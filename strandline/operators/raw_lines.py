@@ -116,7 +116,7 @@ def _long_lines(text: DataFrame, chunk: int) -> DataFrame:
     """Lines of several chunks: map, compose, tokenize, put together. Equal rows come out once."""
     key = ["line_key"]
     chunks = (
-        text.withColumn("line_key", F.xxhash64("rest", "line")).dropDuplicates(key)
+        text.withColumn("line_key", F.sha2(F.concat(F.to_json("rest"), F.lit("\n"), "line"), 256)).dropDuplicates(key)
         .select("line_key", "rest", F.explode(F.sequence(F.lit(0), ((F.length("line") - 1) / chunk).cast("int"))).alias("chunk_no"), F.lit(chunk).alias("size"), "line")
         .selectExpr("line_key", "chunk_no", "CASE WHEN chunk_no = 0 THEN rest END AS rest", "substring(line, chunk_no * size + 1, size) AS chunk")
         .repartition("line_key", "chunk_no")
@@ -152,7 +152,7 @@ def tokenize_lines(lines: DataFrame, line: str, chunk: int = CHUNK) -> DataFrame
     has null fields; an empty one has one empty field. Lines longer than ``chunk`` characters are cut up and their
     chunks spread over the cluster; of those, rows equal in every column come out once.
     """
-    others = [f"`{c}`" for c in lines.columns if c != line]
+    others = [F.col(f"`{c}`") for c in lines.columns if c != line] or [F.lit(True).alias("no_other")]
     text = lines.select(F.struct(*others).alias("rest"), F.col(f"`{line}`").alias("line"))
     short = text.filter(F.col("line").isNull() | (F.length("line") <= chunk)).select("rest", F.col("line").isNull().alias("none"), F.col("line").alias("chunk"), F.lit(START).alias("start_state"))
     short = _scanned(short).select("rest", *(F.when(~F.col("none"), F.col(c)).alias(c) for c in ("fields", "field_at")), "end_state", "broken_at", "n_letters")

@@ -106,3 +106,9 @@ def test_a_very_long_line(spark):
     got = {r.id: r for r in parse_read_lines(df).collect()}
     assert got[0].reason is None and got[0].seq_len == 200_000
     assert got[1].reason == "seq"
+
+
+def test_lines_alone(spark):
+    df = spark.createDataFrame([('"' + "x," * 5000 + '"',), ("a,b",)], "line string")
+    assert sorted(len(r.fields) for r in tokenize_lines(df, "line").collect()) == [1, 2]
+    assert {r.reason for r in parse_read_lines(df).collect()} == {"columns"}
