@@ -1,12 +1,13 @@
-"""Held-out texts inside a corpus (problem 6), by SimHash windows and multi-index Hamming blocks.
+"""Held-out texts inside a corpus (problem 6), by the rarest shingles of each window.
 
-Items and documents are read as windows of ``width`` words. A window's fingerprint is the 64-bit SimHash of its word shingles, a shingle
-weighing as often as it occurs. Two windows whose fingerprints differ in at most ``radius`` bits agree wholly in one of radius + 1
-blocks of bits (pigeonhole), so looking up each block of a document's window in the items' index by block finds all of
-them. Candidates are then verified by the exact weighted similarity of their shingles (sum of the lesser counts over sum of the greater).
+Items and documents are read as windows of ``width`` words. A window is the set of its word shingles, repeats told apart by their number. The weighted
+similarity (sum of the lesser counts over sum of the greater) of two windows of m shingles reaches a bound only if they share at least some number c of them,
+and then, in any one order of all shingles, the first m - c + 1 of the one share a shingle with the first m - c + 1 of the other (prefix filter). Looking
+those up finds every such pair. Pairs that share c are then verified by the exact similarity of their words.
 
-Words are cut and hashed by SQL functions; numpy slides the sums of bits over the flat hashes of a batch. The items' index is carried to
-the tasks only while it has at most ``most_windows`` windows; a larger one is joined with the documents' windows by block instead.
+Words are cut and hashed by SQL functions; numpy makes the sets over the flat hashes of a batch. The items' hashes are carried to the tasks only while the items
+have at most ``most_windows`` windows; the order is then from the rarest shingle of the items to the commonest, and a document's window with fewer than c of the items' shingles is
+dropped at once. More items are joined with the documents' windows by shingle instead, ordered by hash.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from ..functions.arrow import bounded, mix64
 
 WORD = r"[\\p{L}\\p{N}]+"
 #: 13 words: the length of a passage that counts as leaked
-WIDTH, SHINGLE, RADIUS = 13, 5, 3
+WIDTH, SHINGLE = 13, 5
 MOST_WINDOWS = 2_000_000
-_SLICE = 1 << 16
+_SLICE, _PAIRS = 1 << 16, 1 << 17
 
 
 def words(text: Column) -> Column:
@@ -32,100 +33,132 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.expr(f"'{WORD}'"), F.lit(0)), F.lower)
 
 
-def _fingerprints(hashes: np.ndarray, width: int, shingle: int) -> np.ndarray:
-    """SimHash of the ``width - shingle + 1`` shingles of each window of the flat word hashes."""
-    each = np.zeros(len(hashes) - shingle + 1, dtype=np.uint64)
+def _least_common(width: int, shingle: int, similarity: float) -> int:
+    """How many shingles two windows of that similarity have in common at least; one more than a window has if none can be so similar."""
+    m = width - shingle + 1
+    return next((c for c in range(1, m + 1) if c / (2 * m - c) >= similarity), m + 1)
+
+
+def _shingles(hashes: np.ndarray, shingle: int) -> np.ndarray:
+    """The shingle that begins at each of the flat word hashes."""
+    each = np.zeros(max(0, len(hashes) - shingle + 1), dtype=np.uint64)
     for i in range(shingle):
-        each = mix64(each * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - shingle + 1 + i])
-    per = width - shingle + 1
-    out = np.empty(len(hashes) - width + 1, dtype=np.uint64)
-    for at in range(0, len(out), _SLICE):  # bounds the memory of the 64 sums
-        part = each[at : at + _SLICE + per - 1]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
-        total = np.zeros((len(part) + 1, 64), dtype=np.int32)
-        np.cumsum(bits, axis=0, out=total[1:])
-        out[at : at + len(part) - per + 1] = np.packbits(total[per:] - total[:-per] > per // 2, axis=1).view(np.uint64).ravel()
-    return out
-
-
-def _windows(batch: pa.RecordBatch, width: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, row and word offset of every window that lies inside one row."""
-    lists = batch.column("hashes")
+        each = mix64(each * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(each) + i])
+    return each
+
+
+def _sets(each: np.ndarray, start: np.ndarray, per: int) -> np.ndarray:
+    """A row for each window: its ``per`` shingles in order, the second, third ... copy of one as elements of their own."""
+    out = np.sort(each[start[:, None] + np.arange(per)], axis=1)
+    copy = np.zeros(out.shape, dtype=np.uint64)
+    for j in range(1, per):
+        copy[:, j] = np.where(out[:, j] == out[:, j - 1], copy[:, j - 1] + np.uint64(1), np.uint64(0))
+    again = copy > 0
+    out[again] = mix64(out[again] + copy[again] * np.uint64(0xD6E8FEB86659FD93))
+    return np.sort(out, axis=1)
+
+
+def _windows(lists: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The flat word hashes; flat start, row and word offset of every window that lies inside one row."""
     hashes = lists.flatten().to_numpy().view(np.uint64)
     size = lists.value_lengths().to_numpy().astype(np.int64)
     if len(hashes) < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return hashes, *(np.zeros(0, np.int64) for _ in range(3))
     row = np.repeat(np.arange(len(size)), size)
-    inside = row[: len(row) - width + 1] == row[width - 1 :]
-    at = np.flatnonzero(inside)
-    return _fingerprints(hashes, width, shingle)[at], row[at], at - (np.cumsum(size) - size)[row[at]]
+    at = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
+    return hashes, at, row[at], at - (np.cumsum(size) - size)[row[at]]
 
 
 def _block(prints: np.ndarray, i: int, radius: int) -> np.ndarray:
-    """The i-th of radius + 1 blocks of bits, as a number."""
+    """The i-th of radius + 1 blocks of bits, as a number; not used by the search."""
     lo, hi = 64 * i // (radius + 1), 64 * (i + 1) // (radius + 1)
     return (prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
 
 
+def _distinct(w: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once; x below n."""
+    pairs = np.unique(w * n + x)
+    return pairs // max(n, 1), pairs % max(n, 1)
+
+
 def _emit_windows(width: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per = width - shingle + 1
         for batch in bounded(batches, "hashes"):
-            prints, row, at = _windows(batch, width, shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(prints.view(np.int64))], names=["id", "at", "print"])
+            hashes, start, row, at = _windows(batch.column("hashes"), width)
+            each = _shingles(hashes, shingle)
+            for i in range(0, len(start), _SLICE):
+                part = slice(i, i + _SLICE)
+                elements = _sets(each, start[part], per)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(elements) + 1, dtype=np.int32) * per), pa.array(elements.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[part])), pa.array(at[part].astype(np.int32)), lists], names=["id", "at", "elements"])
 
     return run
 
 
-def _search(prints: np.ndarray, ids: np.ndarray, ats: np.ndarray, width: int, shingle: int, radius: int):
-    """Looks every document window up in the items' blocks; ids and ats are the items' and the windows' of ``prints``."""
+def _search(item_ids: np.ndarray, item_sizes: np.ndarray, item_hashes: np.ndarray, width: int, shingle: int, common: int):
+    """Looks every document window up among the items' (ids, numbers of words and flat word hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = []
-        for i in range(radius + 1):
-            keys = _block(prints, i, radius)
-            order = np.argsort(keys, kind="stable")
-            tables.append((keys[order], order))
+        per = width - shingle + 1
+        prefix = per - common + 1
+        held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(item_sizes)]).astype(np.int32)), pa.array(item_hashes))
+        hashes, start, item_row, item_at = _windows(held, width)
+        each = _shingles(hashes, shingle)
+        theirs = _sets(each, start, per)
+        known, inverse, number = np.unique(theirs, return_inverse=True, return_counts=True)
+        plain = np.unique(each)
+        rank = np.empty(len(known), dtype=np.int64)
+        rank[np.argsort(number, kind="stable")] = np.arange(len(known))
+        keys = np.sort(rank[inverse.reshape(theirs.shape)], axis=1)[:, :prefix].ravel()
+        order = np.argsort(keys, kind="stable")
+        keys, order = keys[order], order // max(prefix, 1)
         for batch in bounded(batches, "hashes"):
-            mine, row, at = _windows(batch, width, shingle)
-            doc_w, item_w = [], []
-            for i, (keys, order) in enumerate(tables):
-                own = _block(mine, i, radius)
-                lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-                some = np.flatnonzero(hi > lo)
-                for part in np.array_split(some, 1 + int((hi - lo).sum()) // 1_000_000):
-                    count = hi[part] - lo[part]
-                    w = np.repeat(part, count)
-                    x = order[np.repeat(lo[part] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
-                    near = np.bitwise_count(mine[w] ^ prints[x]) <= radius
-                    for j in range(i):  # a pair is found in its first equal block only
-                        near &= _block(mine[w], j, radius) != _block(prints[x], j, radius)
-                    doc_w.append(w[near])
-                    item_w.append(x[near])
-            w, x = np.concatenate(doc_w), np.concatenate(item_w)
+            hashes, start, row, at = _windows(batch.column("hashes"), width)
+            doc_w, item_w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            each = _shingles(hashes, shingle)
+            if len(start) and len(known):
+                held_too = plain[np.minimum(np.searchsorted(plain, each), len(plain) - 1)] == each
+                sums = np.concatenate([[0], np.cumsum(held_too)])
+                near = np.flatnonzero(sums[start + per] - sums[start] >= common)
+                for i in range(0, len(near), _SLICE):
+                    some = near[i : i + _SLICE]
+                    mine = _sets(each, start[some], per)
+                    place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                    own = np.sort(np.where(known[place] == mine, rank[place], -1), axis=1)[:, :prefix].ravel()
+                    lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+                    ends = np.concatenate([[0], np.cumsum(hi - lo)])
+                    for first in range(0, int(ends[-1]), _PAIRS):  # bounds the memory of the pairs looked at
+                        pair = np.arange(first, min(first + _PAIRS, int(ends[-1])))
+                        k = np.searchsorted(ends, pair, "right") - 1
+                        w, x = _distinct(k // prefix, order[lo[k] + pair - ends[k]], len(theirs))
+                        shared = np.zeros(len(w), dtype=np.int64)
+                        for j in range(per):
+                            shared += (mine[w] == theirs[x, j][:, None]).any(axis=1)
+                        doc_w.append(some[w[shared >= common]])
+                        item_w.append(x[shared >= common])
+            # a pair may share several of the shingles looked up
+            w, x = _distinct(np.concatenate(doc_w), np.concatenate(item_w), len(theirs))
             lists = batch.column("words")
             begin = np.cumsum(lists.value_lengths().to_numpy()) - lists.value_lengths().to_numpy()
             take = ((begin[row[w]] + at[w])[:, None] + np.arange(width)).ravel()
             windows = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * width), lists.flatten().take(pa.array(take)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(row[w])), pa.array(at[w].astype(np.int32)), pa.array(ids[x]), pa.array(ats[x].astype(np.int32)), windows], names=["doc", "doc_at", "item", "item_at", "dw"]
+                [batch.column("id").take(pa.array(row[w])), pa.array(at[w].astype(np.int32)), pa.array(item_ids[item_row[x]]), pa.array(item_at[x].astype(np.int32)), windows], names=["doc", "doc_at", "item", "item_at", "dw"]
             )
 
     return run
 
 
-def _block_sql(i: int, radius: int) -> Column:
-    lo, hi = 64 * i // (radius + 1), 64 * (i + 1) // (radius + 1)
-    return F.shiftrightunsigned("print", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
-
-
-def _by_join(docs: DataFrame, items: DataFrame, radius: int) -> DataFrame:
-    """The same search as a join of all windows by block, for an items' side too large to carry."""
+def _by_join(docs: DataFrame, items: DataFrame, width: int, shingle: int, common: int) -> DataFrame:
+    """The same search as a join of all windows by shingle, for an items' side too large to carry."""
+    prefix = max(0, width - shingle + 2 - common)
 
-    def blocks(df: DataFrame) -> DataFrame:
-        return df.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _block_sql(i, radius).alias("v")) for i in range(radius + 1)))).alias("b")).select("*", "b.*").drop("b")
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.select("*", F.explode(F.slice("elements", 1, prefix)).alias("key"))
 
-    x = blocks(items).select("i", "v", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("print").alias("p"))
-    near = blocks(docs).join(x, ["i", "v"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("p"))) <= radius)
+    x = keyed(items).select("key", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("elements").alias("theirs"))
+    near = keyed(docs).join(x, "key").filter(F.size(F.array_intersect("elements", "theirs")) >= common)
     return near.select(F.col("id").alias("doc"), F.col("at").alias("doc_at"), "item", "item_at").distinct()
 
 
@@ -138,22 +171,23 @@ def _similarity(a: Column, b: Column, shingle: int, width: int) -> Column:
     def count(w: Column, x: Column) -> Column:
         return F.size(F.filter(w, lambda y: y == x))
 
-    x, y = shingles(a), shingles(b)
-    both = F.array_union(x, y)
-    less = F.aggregate(both, F.lit(0), lambda s, z: s + F.least(count(x, z), count(y, z)))
-    return less / (2 * (width - shingle + 1) - less)
+    def ratio(x: Column, y: Column) -> Column:
+        less = F.aggregate(F.array_union(x, y), F.lit(0), lambda s, z: s + F.least(count(x, z), count(y, z)))
+        return F.transform(F.array(less), lambda n: n / (2 * (width - shingle + 1) - n))[0]
+
+    # the shingles are named by a function over one pair, so they are made once
+    return F.transform(F.array(F.struct(shingles(a).alias("x"), shingles(b).alias("y"))), lambda s: ratio(s["x"], s["y"]))[0]
 
 
 def leaked_windows(
     documents: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text", item_text: str = "text",
-    width: int = WIDTH, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float = 0.8, most_windows: int = MOST_WINDOWS,
+    width: int = WIDTH, shingle: int = SHINGLE, similarity: float = 0.8, most_windows: int = MOST_WINDOWS,
 ) -> DataFrame:
     """``doc_id, doc_at, item_id, item_at, similarity, same``: windows of documents that are like windows of items.
 
     doc_at and item_at count words from 0; same: the words are equal, one by one. Texts of fewer than ``width`` words, empty and null texts
     have no windows, nor have rows with a null id. Rows repeated whole count once on the items' side and give equal rows on
-    the documents'. Equal windows have equal fingerprints, so none is missed; others are found if their fingerprints are
-    within the radius. An empty table gives no rows. Other columns are ignored.
+    the documents'. No window of that similarity (above 0) is missed. An empty table gives no rows. Other columns are ignored.
     """
     spark = documents.sparkSession
 
@@ -162,15 +196,17 @@ def leaked_windows(
 
     docs, held = prepared(documents, doc_id, text), prepared(items, item_id, item_text).distinct()
     hashed = lambda df, *more: df.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), *more)
-    index = hashed(held).mapInArrow(_emit_windows(width, shingle), "id long, at int, print long")
     part = lambda w, at: F.slice(w, at + 1, F.lit(width))
-    if index.limit(most_windows + 1).count() <= most_windows:
-        got = index.toArrow()
-        prints, ids, ats = (got.column(c).to_numpy() for c in ("print", "id", "at"))
+    common = _least_common(width, shingle, similarity)
+    if (held.agg(F.sum(F.greatest(F.size("words") - (width - 1), F.lit(0)))).first()[0] or 0) <= most_windows:
+        got = hashed(held).filter(F.size("hashes") >= width).toArrow().combine_chunks()
+        ids, lists = got.column("id").to_numpy(), got.column("hashes").combine_chunks()
+        search = _search(ids, lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), width, shingle, common)
         # the words of a candidate window come along, so no document is shuffled
-        found = hashed(docs, "words").mapInArrow(_search(prints.view(np.uint64), ids, ats, width, shingle, radius), "doc long, doc_at int, item long, item_at int, dw array<string>")
+        found = hashed(docs, "words").mapInArrow(search, "doc long, doc_at int, item long, item_at int, dw array<string>")
     else:
-        found = _by_join(hashed(docs).mapInArrow(_emit_windows(width, shingle), "id long, at int, print long"), index, radius)
+        emitted = lambda df: hashed(df).mapInArrow(_emit_windows(width, shingle), "id long, at int, elements array<long>")
+        found = _by_join(emitted(docs), emitted(held), width, shingle, common)
         found = found.join(docs.select(F.col("id").alias("doc"), F.col("words").alias("dw")), "doc").withColumn("dw", part(F.col("dw"), F.col("doc_at")))
     sided = found.join(held.select(F.col("id").alias("item"), F.col("words").alias("iw")), "item").withColumn("iw", part(F.col("iw"), F.col("item_at")))
     checked = sided.withColumn("same", F.col("dw") == F.col("iw")).withColumn("similarity", F.when(F.col("same"), F.lit(1.0)).otherwise(_similarity(F.col("dw"), F.col("iw"), shingle, width)))

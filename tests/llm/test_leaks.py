@@ -84,3 +84,22 @@ def test_no_rows(spark):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert leaked_windows(df, items, "doc_id", "item_id").count() == 0
     assert leaked_windows(df.filter("doc_id > 1"), items.filter("item_id > 1"), "doc_id", "item_id").count() == 0
+
+
+@pytest.mark.parametrize("most", [leaks.MOST_WINDOWS, 10])
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_all_windows_of_the_similarity_are_found(spark, most, similarity):
+    items, docs = made(7, 60)
+    items, docs = [*((i, t) for i, t in items if i is not None), (94, "la la la la la tu " * 4)], [*((i, t) for i, t in docs if i is not None), (200, "la la la la tu la " * 4)]
+    want, n = set(), 0
+    windows = {(side, i): [w[p : p + 13] for p in range(len(w) - 12)] for side, rows in ((0, docs), (1, items)) for i, t in rows for w in [cut(t)]}
+    sets = {k: [set(shingles(w, 5)) for w in v] for k, v in windows.items()}
+    for (_, d), x in ((k, v) for k, v in windows.items() if k[0] == 0):
+        for (_, i), y in ((k, v) for k, v in windows.items() if k[0] == 1):
+            for p, a in enumerate(x):
+                for q, b in enumerate(y):
+                    if not sets[0, d][p].isdisjoint(sets[1, i][q]) and (a == b or similar(a, b, 5) >= similarity):
+                        want.add((d, p, i, q))
+                        n += a != b
+    got = leaked_windows(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), "doc_id", "item_id", similarity=similarity, most_windows=most)
+    assert {(r.doc_id, r.doc_at, r.item_id, r.item_at) for r in got.collect()} == want and n > 100
