@@ -85,7 +85,7 @@ def best_hits(hits: DataFrame) -> DataFrame:
     return hits.filter(F.col("orientation") != NONE).groupBy("read_id").agg(F.min(order).alias("_b")).select("read_id", "_b.*")
 
 
-def map_reads(reads: DataFrame, genome: DataFrame, k: int = 16, w: int = 128, hashes: int = 16, min_hits: int = 4, ratio: float = 0.05, most: int = 65_535, mode: str = "truncate") -> DataFrame:
+def map_reads(reads: DataFrame, genome: DataFrame, k: int = 16, w: int = 128, hashes: int = 16, min_hits: int = 4, ratio: float = 0.05, most: int = 65_535, mode: str = "all") -> DataFrame:
     """The mapping plan: ``read_id, hamming, chrom_id, pos, orientation, shift, ext_start, ext_len, read_len`` of each read that is hit.
 
     genome: as from load_genome. reads: read_id, file_id, read_id_in_file, seq, each read once. Windows and reads meet by minhash; a window is extended by half the

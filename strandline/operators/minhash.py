@@ -123,9 +123,25 @@ def capped(signatures: DataFrame, most: int, mode: str = "truncate") -> DataFram
     return usual.unionByName(kept.select(*signatures.columns))
 
 
-def candidates(window_signatures: DataFrame, read_signatures: DataFrame, most: int = 65_535, min_hits: int = 4, mode: str = "truncate") -> DataFrame:
-    """``chrom_id, pos, read_id, hits``: windows and reads that meet in at least ``min_hits`` of their buckets."""
-    met = window_signatures.join(capped(read_signatures, most, mode), ["h", "key"])
+def _spread_buckets(window_signatures: DataFrame, read_signatures: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``salt``: reads of a bucket of more than ``block`` in as many parts as it takes, its windows once for each part."""
+    by = ["h", "key"]
+    large = read_signatures.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > block).select(*by, F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    reads = read_signatures.join(large, by, "left").withColumn("salt", F.pmod(F.xxhash64("read_id"), parts).cast("int")).drop("parts")
+    return window_signatures.join(large, by, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"), reads
+
+
+def candidates(window_signatures: DataFrame, read_signatures: DataFrame, most: int = 65_535, min_hits: int = 4, mode: str = "all") -> DataFrame:
+    """``chrom_id, pos, read_id, hits``: windows and reads that meet in at least ``min_hits`` of their buckets.
+
+    mode ``all``: every read of a bucket counts, and a bucket of more than ``most`` is joined in parts; ``truncate`` and ``drop`` cut such buckets (J8).
+    """
+    if mode == "all":
+        left, right = _spread_buckets(window_signatures, read_signatures, most)
+        met = left.join(right, ["h", "key", "salt"])
+    else:
+        met = window_signatures.join(capped(read_signatures, most, mode), ["h", "key"])
     return met.groupBy("chrom_id", "pos", "read_id").agg(F.count("*").alias("hits")).filter(F.col("hits") >= min_hits)
 
 
