@@ -108,7 +108,7 @@ _V = f"""{_H}, v AS (SELECT DISTINCT chrom_id, chrom, CAST(pos + i AS INT) AS po
 
 def ungapped(spark, d) -> DataFrame:
     """The hits as alignments without gaps."""
-    h = hits(spark, d).filter("n > 0").withColumn("s", X.reference_slice(F.col("whole"), F.col("pos"), 1000))
+    h = hits(spark, d).filter("n > 0").withColumn("s", X.reference_slice(F.col("whole"), F.col("pos"), F.col("n")))
     return h.select("read_id", "file_id", "chrom_id", "chrom", "pos", F.lit(60).alias("mapq"), F.concat(F.least("n", F.col("len") - F.col("pos")).cast("string"), F.lit("M")).alias("cigar"), "s.prefix", "s.ref", F.col("oriented").alias("alt"))
 
 

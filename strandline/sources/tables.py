@@ -117,10 +117,10 @@ def read_fasta_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="name string, length long, offset long, line_bases int, line_width int")
 
 
-def reference_slice(seq: Column | str, pos: Column | str, span: int = 82) -> Column:
+def reference_slice(seq: Column | str, pos: Column | str, span: Column | int = 82) -> Column:
     """Struct (prefix, ref): the base before a 0-based position (N at the start) and the ``span`` bases from it."""
     seq, pos = (F.col(x) if isinstance(x, str) else x for x in (seq, pos))
-    return F.struct(F.when(pos > 0, F.substring(seq, pos, F.lit(1))).otherwise("N").alias("prefix"), F.substring(seq, pos + 1, F.lit(span)).alias("ref"))
+    return F.struct(F.when(pos > 0, F.substring(seq, pos, F.lit(1))).otherwise("N").alias("prefix"), F.substring(seq, pos + 1, F.lit(span) if isinstance(span, int) else span).alias("ref"))
 
 
 def region(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
