@@ -22,6 +22,7 @@ from ..streaming.ingest import distinct_hits, hits_per_window, map_stream, merge
 from . import mapper
 from .registry import Registry
 from .scalar_queries import _G, _R, _W, genome, reads
+from .scalar_queries import SQL as SCALAR_SQL
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -307,6 +308,19 @@ def a8_best_hits(spark, d):
     return found.select("read_id", "hamming", "chrom_id", "pos", "orientation", "shift")
 
 
+#: reads as F3 cleans them, in place of _R
+_RC = f"r AS ({SCALAR_SQL['f3_clean_reads'].replace(' AS clean,', ' AS seq,')})"
+_WHOLE = SQL["a8_best_hits"].replace(_R, _RC, 1).replace(" WHERE clean)", ")")
+
+
+@query(_WHOLE)
+def a8_all_best_hits(spark, d):
+    """The mapping plan from all reads, letters beside bases replaced (F3), to one hit a read."""
+    r = table(spark, d, "read_records").select("read_id", "file_id", "read_id_in_file", F.upper("seq").alias("seq")).filter(F.col("seq").isNotNull()).distinct()
+    found = mapper.mapped(r, table(spark, d, "genome"), Options(num_hash_functions=4, min_table_hits=2))
+    return found.select("read_id", "hamming", "chrom_id", "pos", "orientation", "shift")
+
+
 @query("SELECT file_id, min(length(seq)) AS shortest, max(length(seq)) AS longest, CAST(sum(length(seq)) AS BIGINT) AS total, bool_and(length(seq) >= 20) AS all_long, bool_or(qual IS NULL) AS any_bare FROM (SELECT DISTINCT * FROM read_records) GROUP BY 1")
 def a16_reductions(spark, d):
     r = table(spark, d, "read_records").distinct().withColumn("n", F.length("seq").cast("long"))
@@ -473,3 +487,12 @@ def stream_best_hits(spark, d):
     path = scratch(spark, "mapped")
     map_stream(stream, table(spark, d, "genome"), path, scratch(spark, "log"), Options(num_hash_functions=4, min_table_hits=2)).awaitTermination()
     return merged_hits(spark, path).select("read_id", "hamming", "chrom_id", "pos", "orientation", "shift")
+
+
+@query(SQL["a8_all_best_hits"])
+def stream_all_best_hits(spark, d):
+    """All reads as a stream, mapped batch by batch, the best hit over all batches; F3 counts within a batch."""
+    stream = stream_table(spark, f"{d}/read_records.parquet").select("read_id", "file_id", "read_id_in_file", F.upper("seq").alias("seq")).filter(F.col("seq").isNotNull())
+    path = scratch(spark, "mapped")
+    map_stream(stream, table(spark, d, "genome"), path, scratch(spark, "log"), Options(num_hash_functions=4, min_table_hits=2)).awaitTermination()
+    return merged_hits(spark, path).select("read_id", "hamming", "chrom_id", "pos", "orientation", "shift")
