@@ -47,7 +47,8 @@ def frequent(arrays: list[Column], least: int, most: int | None = None) -> Colum
 
 def repeated(a: Column, least: int) -> Column:
     """The elements that occur at least ``least`` times, all copies kept."""
-    return F.array_sort(F.filter(a, lambda x: _times(a, x) >= least))
+    often = F.filter(F.array_distinct(a), lambda x: _times(a, x) >= least)  # counted once for each different element
+    return F.array_sort(F.flatten(F.transform(often, lambda x: F.filter(a, lambda y: y == x))))
 
 
 def first_n(a: Column, n: int) -> Column:
