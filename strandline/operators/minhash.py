@@ -106,20 +106,22 @@ def bottom_sketch(df: DataFrame, ids: list[str], seq: str, k: int, n: int) -> Da
     return rows.mapInArrow(_sketches(k, n), T.StructType([*(rows.schema[i] for i in ids), T.StructField("sketch", T.ArrayType(T.LongType()))]))
 
 
-def capped(signatures: DataFrame, most: int, mode: str = "truncate") -> DataFrame:
+def capped(signatures: DataFrame, most: int | Column, mode: str = "truncate", by: tuple[str, ...] = ("h", "key")) -> DataFrame:
     """Signatures (read_id, h, key) of buckets cut to their first ``most`` reads, or (drop) without larger buckets.
 
-    Only buckets that are too large are ranked, so a bucket of usual size costs one count.
+    Only buckets that are too large are ranked, so a bucket of usual size costs one count. by: the key of a bucket; most may be a
+    number or a column that is the same throughout a bucket.
     """
-    by = ["h", "key"]
-    large = signatures.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*by)
-    usual = signatures.join(large, by, "left_anti")
+    limit = F.lit(most) if isinstance(most, int) else most
+    limited = signatures.withColumn("_most", limit)
+    large = limited.groupBy(*by).agg(F.count("*").alias("n"), F.max("_most").alias("_most")).filter(F.col("n") > F.col("_most")).select(*by)
+    usual = signatures.join(large, [*by], "left_anti")
     if mode == "drop":
         return usual
     # first reads of a large bucket by salted partial ranks: the first of all are among the first of each salt
-    salted = signatures.join(large, by, "left_semi").withColumn("salt", F.pmod(F.xxhash64("read_id"), F.lit(16)))
-    part = salted.withColumn("r", F.row_number().over(Window.partitionBy(*by, "salt").orderBy("read_id"))).filter(F.col("r") <= most)
-    kept = part.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("read_id"))).filter(F.col("r") <= most)
+    salted = limited.join(large, [*by], "left_semi").withColumn("salt", F.pmod(F.xxhash64("read_id"), F.lit(16)))
+    part = salted.withColumn("r", F.row_number().over(Window.partitionBy(*by, "salt").orderBy("read_id"))).filter(F.col("r") <= F.col("_most"))
+    kept = part.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("read_id"))).filter(F.col("r") <= F.col("_most"))
     return usual.unionByName(kept.select(*signatures.columns))
 
 

@@ -253,6 +253,50 @@ def j9_gather(spark, d):
     return _buckets(spark, d).join(reads(spark, d).select("read_id", F.length("seq").cast("long").alias("len")), "read_id").select("h", "key", "read_id", "len")
 
 
+#: the buckets of all profiles, with the limit of each
+_BA = "b AS (SELECT DISTINCT profile_id, h, bucket_key AS key, read_id FROM read_signatures WHERE bucket_key IS NOT NULL), lim AS (SELECT profile_id, max(max_results_per_map) AS most FROM run_options GROUP BY 1)"
+_PROFILE = ("profile_id", "h", "key")
+
+
+def _all_buckets(spark, d) -> DataFrame:
+    return table(spark, d, "read_signatures").filter("bucket_key IS NOT NULL").select("profile_id", "h", F.col("bucket_key").alias("key"), "read_id").distinct()
+
+
+def _all_capped(spark, d, mode: str) -> DataFrame:
+    limits = table(spark, d, "run_options").groupBy("profile_id").agg(F.max("max_results_per_map").alias("most"))
+    # a profile without options has no limit
+    limited = _all_buckets(spark, d).join(limits, "profile_id", "left").withColumn("most", F.coalesce("most", F.lit(2**31 - 1)))
+    return capped(limited, F.col("most"), mode, _PROFILE).select(*_PROFILE, "read_id")
+
+
+@query(f"WITH {_BA} SELECT profile_id, h, key, read_id FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, h, key ORDER BY read_id) AS n FROM b) LEFT JOIN lim USING (profile_id) WHERE most IS NULL OR n <= most")
+def j8_all_truncated_buckets(spark, d):
+    return _all_capped(spark, d, "truncate")
+
+
+@query(f"WITH {_BA} SELECT profile_id, h, key, read_id FROM (SELECT *, count(*) OVER (PARTITION BY profile_id, h, key) AS n FROM b) LEFT JOIN lim USING (profile_id) WHERE most IS NULL OR n <= most")
+def j8_all_dropped_buckets(spark, d):
+    return _all_capped(spark, d, "drop")
+
+
+@query(f"WITH {_BA} SELECT * FROM b SEMI JOIN (SELECT profile_id, h, key FROM b GROUP BY ALL HAVING count(*) >= 2) USING (profile_id, h, key)")
+def j4_all_shared_buckets(spark, d):
+    b = _all_buckets(spark, d)
+    return b.join(b.groupBy(*_PROFILE).agg(F.count("*").alias("n")).filter("n >= 2").select(*_PROFILE), [*_PROFILE], "left_semi").select(*_PROFILE, "read_id")
+
+
+@query(f"WITH {_BA}, {_R} SELECT b.*, length(seq) AS len FROM b JOIN r USING (read_id)")
+def j9_all_gather(spark, d):
+    return _all_buckets(spark, d).join(reads(spark, d).select("read_id", F.length("seq").cast("long").alias("len")), "read_id").select(*_PROFILE, "read_id", "len")
+
+
+@query(f"WITH {_BA} SELECT a.profile_id, a.read_id FROM (SELECT DISTINCT profile_id, read_id FROM b WHERE h = 0) a SEMI JOIN (SELECT DISTINCT profile_id, read_id // 2 AS pair FROM b WHERE h = 1) c ON a.profile_id = c.profile_id AND a.read_id // 2 = c.pair")
+def j15_all_mates(spark, d):
+    b = _all_buckets(spark, d).withColumn("pair", F.expr("read_id div 2"))
+    one = b.filter("h = 0").select("profile_id", "pair", "read_id").distinct()
+    return one.join(b.filter("h = 1").select("profile_id", "pair").distinct(), ["profile_id", "pair"], "left_semi").select("profile_id", "read_id")
+
+
 @query(f"WITH {_H} SELECT read_id, chrom_id, pos, substr(whole, pos + 1, 128) AS seq FROM h")
 def j10_window_texts(spark, d):
     return hits(spark, d).select("read_id", "chrom_id", "pos", F.substring("whole", F.col("pos") + 1, F.lit(128)).alias("seq"))
