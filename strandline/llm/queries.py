@@ -142,8 +142,8 @@ def _types(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_P8} SELECT doc_id FROM s WHERE {_P8_FOUND}")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     against = [F.coalesce(F.col(f"v_{name}") != TYPES.index("prose"), F.lit(False)) for name in NOT_PROSE]
-    # any vote against prose counts; a document all of whose votes are for prose has no posterior to overrule
-    return _types(spark, d).filter(reduce(or_, against) & F.col("p_prose").isNotNull()).select("document.doc_id")
+    # any of the five votes against prose counts; accuracies and posteriors play no part
+    return _types(spark, d).filter(reduce(or_, against)).select("document.doc_id")
 
 
 @query(f"""{_P8} SELECT doc_id, n_words, CASE WHEN n_words > 0 THEN n_letters / n_words END AS mean_word_length, CASE WHEN n_letters + n_marks > 0 THEN n_marks / (n_letters + n_marks) END AS mark_share,
