@@ -1,13 +1,18 @@
 """Per-document text statistics, and text types learned from them (problem 8).
 
 The statistics are SQL expressions, one pass over the text, no shuffle. Thresholds on them act as noisy labelling functions: each votes
-for a type or abstains. Their accuracies aren't set but learned, by expectation-maximization on how they agree, from the
-number of documents of each pattern of votes. There are at most (number of outcomes) patterns whatever the corpus holds, so what
-the driver sees is of fixed size while every document counts. Each document then gets the posterior of its pattern.
+for one or several types, or abstains. How often each votes in documents of each type isn't set but learned, by expectation-maximization on
+how they agree, from the number of documents of each pattern of votes. There are at most 2 ^ (number of functions) patterns whatever the
+corpus holds, so what the driver sees is of fixed size while every document counts. Each document then gets the posterior of its pattern.
+
+The thresholds that the statement of the problem fixes are functions like the others, but known never to vote in prose: the rate of their votes in
+prose is held at 0. So the posterior of prose is 0 exactly where one of them votes, and which of the other types it is remains to be learned.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,66 +72,87 @@ def text_statistics(documents: DataFrame, text: str, common: DataFrame, word: st
     )
 
 
-#: Name -> (condition under which the function speaks, condition of its vote, type it then votes for, type otherwise).
-#: The first five are the thresholds fixed by the statement of the problem.
+#: Latent classes of documents and their types: the ways of being prose, a list or junk differ too much for one set of rates.
+CLASSES = {"prose": "prose", "casual": "prose", "bullets": "list", "lines": "list", "table": "table", "noise": "junk", "terms": "junk"}
+#: Name -> (condition of its vote, classes it votes for). The first five are the thresholds fixed by the statement of the problem.
 FUNCTIONS = {
-    "wordless": ("true", "n_words = 0", "junk", None),
-    "marked": ("n_letters + n_marks >= 20", "n_marks * 5 > n_letters + n_marks", "table", "prose"),
-    "long_worded": ("n_words > 0", "n_letters > 9 * n_words", "junk", "prose"),
-    "uncommon": ("n_words >= 8", "n_common * 5 < n_words", "junk", "prose"),
-    "unended": ("n_lines >= 5", "n_ended_lines * 4 < n_lines", "list", "prose"),
-    "separated": ("n_lines >= 3", "n_separators >= 2 * n_lines", "table", None),
-    "bulleted": ("n_lines >= 3", "bulleted_share >= 0.5", "list", None),
-    "digits": ("n_letters >= 20", "digit_share > 0.3", "table", None),
+    "wordless": ("n_words = 0", ("noise",)),
+    "marked": ("n_letters + n_marks >= 20 AND n_marks * 5 > n_letters + n_marks", ("table", "noise")),
+    "long_worded": ("n_words > 0 AND n_letters > 9 * n_words", ("noise", "terms")),
+    "uncommon": ("n_words >= 8 AND n_common * 5 < n_words", ("bullets", "table", "noise", "terms")),
+    "unended": ("n_lines >= 5 AND n_ended_lines * 4 < n_lines", ("bullets", "lines", "table")),
+    "separated": ("n_lines >= 3 AND n_separators >= 2 * n_lines", ("table",)),
+    "digits": ("n_letters >= 20 AND digit_share > 0.3", ("table",)),
+    "bulleted": ("n_lines >= 3 AND bulleted_share >= 0.5", ("bullets",)),
+    "short_lined": ("n_lines >= 3 AND n_words > 0 AND n_words <= 6 * n_lines", ("bullets", "table")),
+    "fluent": ("n_words >= 2 AND n_common * 10 >= 3 * n_words", ("prose", "casual", "lines")),
+    "sentences": ("n_words >= 3 * n_lines AND n_lines > 0 AND n_ended_lines * 2 >= n_lines", ("prose",)),
 }
 NOT_PROSE = ("wordless", "marked", "long_worded", "uncommon", "unended")
+_VOTES_FOR = np.array([[c in of for c in CLASSES] for _, of in FUNCTIONS.values()])
+_IMPOSSIBLE = np.array([[name in NOT_PROSE and t == "prose" for t in CLASSES.values()] for name in FUNCTIONS])
+_TYPE_OF = np.array([[t == u for u in TYPES] for t in CLASSES.values()], dtype=float)
+#: what is believed before any document is seen: rates of votes inside and outside the classes voted for, worth so many documents of each class
+_INSIDE, _OUTSIDE, _WORTH = 0.6, 0.05, 20.0
+#: bounds of the model: functions are one-sided, so they vote seldom outside their classes; no class dies out
+_MOST_OUTSIDE, _LEAST_SHARE = 0.15, 0.005
+
+
+@dataclass(frozen=True)
+class LabelModel:
+    """rates (functions, classes): how often each function votes in documents of each class; shares of the classes; posterior (patterns, classes)."""
 
+    rates: np.ndarray
+    shares: np.ndarray
+    posterior: np.ndarray
 
-def _vote(name: str) -> Column:
-    speaks, says, then, other = FUNCTIONS[name]
-    return F.expr(f"CASE WHEN {speaks} THEN CASE WHEN {says} THEN {TYPES.index(then)} {f'ELSE {TYPES.index(other)}' if other else ''} END END").cast("int")
 
+def _posterior(votes: np.ndarray, rates: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        yes, no = np.log(rates), np.log1p(-rates)
+    score = np.log(shares) + np.where(votes[:, :, None], yes, no).sum(axis=1)
+    possible = np.isfinite(score)
+    out = np.exp(score - score.max(axis=1, keepdims=True, initial=-1e300))
+    out = np.where(possible, np.maximum(out, 1e-12), 0.0)  # improbable isn't impossible
+    return out / out.sum(axis=1, keepdims=True)
 
-def learn(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def learn(patterns: list[tuple[tuple[bool, ...], int]], votes_for: np.ndarray = _VOTES_FOR, impossible: np.ndarray = _IMPOSSIBLE, rounds: int = 200) -> LabelModel:
     """Expectation-maximization over patterns of votes and their numbers of documents.
 
-    A function has one accuracy: if it speaks, it votes for the true type so often, and for the other types alike otherwise. Returns the posterior
-    (patterns, types), the accuracies and the shares of the types.
+    Functions are independent inside a class; both a vote and an abstention are evidence. ``votes_for`` (functions, classes) gives the beliefs to start from and the
+    side on which a function may vote often, ``impossible`` the pairs whose rate is 0.
     """
-    votes = np.array([[-1 if v is None else v for v in p] for p, _ in patterns], dtype=np.int64).reshape(len(patterns), -1)
+    votes = np.array([p for p, _ in patterns], dtype=bool).reshape(len(patterns), len(votes_for))
     number = np.array([n for _, n in patterns], dtype=float)
-    k, spoken = len(TYPES), votes >= 0
-    accuracy, prior = np.full(votes.shape[1], 0.8), np.array([0.7] + [0.3 / (k - 1)] * (k - 1))
-    agree = votes[:, :, None] == np.arange(k)
-    posterior = np.zeros((len(patterns), k))
+    believed = np.where(votes_for, _INSIDE, _OUTSIDE)
+    rates = np.where(impossible, 0.0, believed)
+    shares = np.where(np.arange(votes_for.shape[1]) == 0, 0.7, 0.3 / (votes_for.shape[1] - 1))
     for _ in range(rounds):
-        log = np.where(agree, np.log(accuracy)[None, :, None], np.log((1 - accuracy) / (k - 1))[None, :, None])
-        score = np.log(prior) + (log * spoken[:, :, None]).sum(axis=1)
-        posterior = np.exp(score - score.max(axis=1, keepdims=True))
-        posterior /= posterior.sum(axis=1, keepdims=True)
-        right = (posterior[:, None, :] * agree).sum(axis=2) * spoken * number[:, None]
-        # as if each function had been seen right eight times of ten before
-        accuracy = np.clip((right.sum(axis=0) + 8) / ((spoken * number[:, None]).sum(axis=0) + 10), 0.3, 0.999)
-        prior = ((posterior * number[:, None]).sum(axis=0) + 1) / (number.sum() + k)
-    return posterior, accuracy, prior
-
-
-def text_types(documents: DataFrame, text: str, common: DataFrame, word: str = "word", rounds: int = 50) -> DataFrame:
-    """The statistics of each text, a vote of each labelling function (``v_`` and its name; null: it abstains), the posterior of each type
+        weight = _posterior(votes, rates, shares) * number[:, None]
+        new = (votes.T.astype(float) @ weight + believed * _WORTH) / (weight.sum(axis=0) + _WORTH)
+        new = np.where(impossible, 0.0, np.where(votes_for, new, np.minimum(new, _MOST_OUTSIDE)))
+        shares = np.maximum((weight.sum(axis=0) + 1) / (number.sum() + len(shares)), _LEAST_SHARE)
+        shares, moved, rates = shares / shares.sum(), np.abs(new - rates).max(), new
+        if moved < 1e-6:
+            break
+    return LabelModel(rates, shares, _posterior(votes, rates, shares))
+
+
+def text_types(documents: DataFrame, text: str, common: DataFrame, word: str = "word", rounds: int = 200) -> DataFrame:
+    """The statistics of each text, whether each labelling function votes (``v_`` and its name; false: it abstains), the posterior of each type
     (``p_`` and its name) and ``text_type``, the likeliest (at a tie the first of prose, list, table, junk).
 
-    Nulls, empty texts and extra columns: as in ``text_statistics``. An empty table gives no rows.
+    ``p_prose`` is 0 exactly where a threshold of NOT_PROSE holds. Nulls, empty texts and extra columns: as in ``text_statistics``. An empty table gives no rows.
     """
     spark = documents.sparkSession
+    names = [f"v_{name}" for name in FUNCTIONS]
     voted = text_statistics(documents, text, common, word)
-    voted = voted.select("*", *(_vote(name).alias(f"v_{name}") for name in FUNCTIONS))
+    voted = voted.select("*", *(F.coalesce(F.expr(says), F.lit(False)).alias(v) for v, (says, _) in zip(names, FUNCTIONS.values())))
+    voted = voted.withColumn("pattern", sum((F.col(v).cast("int") * 2**i for i, v in enumerate(names)), F.lit(0)))
     voted = cut_lineage(voted, "statistics")  # without the texts; they are read and counted once
-    names = [f"v_{name}" for name in FUNCTIONS]
-    code = sum((F.coalesce(F.col(v) + 1, F.lit(0)) * (len(TYPES) + 1) ** i for i, v in enumerate(names)), F.lit(0))
-    coded = voted.withColumn("pattern", code)
-    rows = coded.groupBy("pattern", *names).count().collect()  # at most as many as the votes have combinations: 2 ^ 8 here
-    posterior, _, _ = learn([(tuple(r[v] for v in names), r["count"]) for r in rows], rounds) if rows else (np.zeros((0, len(TYPES))), None, None)
-    table = [(r["pattern"], *map(float, p), TYPES[int(np.argmax(p))]) for r, p in zip(rows, posterior)]
+    rows = voted.groupBy("pattern").count().collect()  # at most 2 ^ len(FUNCTIONS) rows
+    model = learn([(tuple(bool(r["pattern"] >> i & 1) for i in range(len(names))), r["count"]) for r in rows], rounds=rounds)
+    table = [(r["pattern"], *map(float, p), TYPES[int(np.argmax(p))]) for r, p in zip(rows, model.posterior @ _TYPE_OF)]
     schema = "pattern int, " + ", ".join(f"p_{t} double" for t in TYPES) + ", text_type string"
-    known = spark.createDataFrame(table, schema)
-    return coded.join(F.broadcast(known), "pattern", "left").drop("pattern")
+    return voted.join(F.broadcast(spark.createDataFrame(table, schema)), "pattern").drop("pattern")

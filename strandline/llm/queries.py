@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from .leaks import leaked_windows
 from .mixing import mix_sources
 from .near_reads import alike_groups, alike_pairs
 from .pieces import genome_pieces
-from .quality import NOT_PROSE, TYPES, text_statistics, text_types
+from .quality import TYPES, text_statistics, text_types
 from .spans import shared_spans
 
 QUERIES: dict = {}
@@ -141,9 +138,8 @@ def _types(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_P8} SELECT doc_id FROM s WHERE {_P8_FOUND}")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    against = [F.coalesce(F.col(f"v_{name}") != TYPES.index("prose"), F.lit(False)) for name in NOT_PROSE]
-    # any of the five votes against prose counts; accuracies and posteriors play no part
-    return _types(spark, d).filter(reduce(or_, against)).select("document.doc_id")
+    # the model holds prose impossible exactly where a stated threshold votes
+    return _types(spark, d).filter(F.col("p_prose") == 0).select("document.doc_id")
 
 
 @query(f"""{_P8} SELECT doc_id, n_words, CASE WHEN n_words > 0 THEN n_letters / n_words END AS mean_word_length, CASE WHEN n_letters + n_marks > 0 THEN n_marks / (n_letters + n_marks) END AS mark_share,
