@@ -14,12 +14,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrow import bounded, flat_bytes
+from ..shared import cut
 
 START, BARE, QUOTED, CLOSING, BROKEN = range(5)
 CHUNK = 4096
@@ -112,23 +114,50 @@ def _scanned(df: DataFrame) -> DataFrame:
     return df.mapInArrow(_tokens, T.StructType([*had, *new]))
 
 
+def _chunked(size: int):
+    """Each line's chunks of at most ``size`` characters, cut in one pass over its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "line"):
+            raw, offsets = flat_bytes(batch.column("line"))
+            for row in range(batch.num_rows):
+                text = raw[offsets[row] : offsets[row + 1]]
+                begins = np.flatnonzero((text & 0xC0) != 0x80)[::size]
+                chunks = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(text)).astype(np.int64).tobytes()), pa.py_buffer(text.tobytes()))
+                for at in range(0, len(chunks), 256):  # batches of bounded size, however long the line
+                    part = chunks.slice(at, 256)
+                    n = len(part)
+                    key = pa.array([batch.column("line_key")[row].as_py()] * n, pa.string())
+                    yield pa.RecordBatch.from_arrays([key, pa.array(np.arange(at, at + n, dtype=np.int32)), part.cast(pa.string())], names=["line_key", "chunk_no", "chunk"])
+
+    return run
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _composed(maps: pd.Series) -> pd.Series:
+    """The state at the start of each chunk of a line, from the chunks' maps in order."""
+
+    def states(each) -> list[int]:
+        state, out = START, []
+        for m in each:
+            out.append(state)
+            state = int(m) >> 3 * state & 7
+        return out
+
+    return maps.map(states)
+
+
 def _long_lines(text: DataFrame, chunk: int) -> DataFrame:
-    """Lines of several chunks: map, compose, tokenize, put together. Equal rows come out once."""
+    """Lines of several chunks (line_key, rest, line): map, compose, tokenize, put together. ``line_key`` names a row, so equal rows stay apart."""
     key = ["line_key"]
-    chunks = (
-        text.withColumn("line_key", F.sha2(F.concat(F.to_json("rest"), F.lit("\n"), "line"), 256)).dropDuplicates(key)
-        .select("line_key", "rest", F.explode(F.sequence(F.lit(0), ((F.length("line") - 1) / chunk).cast("int"))).alias("chunk_no"), F.lit(chunk).alias("size"), "line")
-        .selectExpr("line_key", "chunk_no", "CASE WHEN chunk_no = 0 THEN rest END AS rest", "substring(line, chunk_no * size + 1, size) AS chunk")
-        .repartition("line_key", "chunk_no")
-    )
-    mapped = chunks.mapInArrow(_maps, T.StructType([*chunks.schema.fields, T.StructField("map", T.IntegerType())]))
+    chunks = text.select("line_key", "line").mapInArrow(_chunked(chunk), "line_key string, chunk_no int, chunk string").repartition("line_key", "chunk_no")
+    chunks = cut(chunks, "chunks")
+    mapped = chunks.mapInArrow(_maps, T.StructType([*chunks.schema.fields, T.StructField("map", T.IntegerType())])).select("line_key", "chunk_no", "map")
     states = (
         mapped.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("chunk_no", "map"))).alias("maps"))
-        .selectExpr("line_key", """aggregate(maps, named_struct('s', 0, 'each', cast(array() AS array<struct<chunk_no: int, start_state: int>>)),
-            (acc, m) -> named_struct('s', shiftright(m.map, 3 * acc.s) & 7, 'each', concat(acc.each, array(named_struct('chunk_no', m.chunk_no, 'start_state', acc.s))))).each AS each""")
-        .select("line_key", F.inline("each"))
+        .select("line_key", F.posexplode(_composed(F.col("maps.map"))).alias("chunk_no", "start_state"))
     )
-    parts = _scanned(mapped.drop("map").join(states, ["line_key", "chunk_no"]))
+    parts = _scanned(chunks.join(states, ["line_key", "chunk_no"]))
     order = Window.partitionBy("line_key").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("field_no", F.coalesce(F.sum(F.size("fields") - 1).over(order), F.lit(0))).withColumn("line_at", F.coalesce(F.sum("n_letters").over(order), F.lit(0)))
     fields = (
@@ -138,10 +167,11 @@ def _long_lines(text: DataFrame, chunk: int) -> DataFrame:
         .groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("field_no", "field", "at"))).alias("all"))
     )
     lines = placed.groupBy(*key).agg(
-        F.max_by("rest", -F.col("chunk_no")).alias("rest"), F.max_by("end_state", "chunk_no").alias("end_state"), F.sum("n_letters").cast("int").alias("n_letters"),
+        F.max_by("end_state", "chunk_no").alias("end_state"), F.sum("n_letters").cast("int").alias("n_letters"),
         F.min(F.when(F.col("broken_at") >= 0, F.col("line_at") + F.col("broken_at"))).cast("int").alias("broken_at"),
     )
-    return lines.join(fields, key).select("rest", F.col("all.field").alias("fields"), F.col("all.at").alias("field_at"), "end_state", F.coalesce("broken_at", F.lit(-1)).alias("broken_at"), "n_letters")
+    whole = text.select("line_key", "rest").join(lines, key).join(fields, key)
+    return whole.select("rest", F.col("all.field").alias("fields"), F.col("all.at").alias("field_at"), "end_state", F.coalesce("broken_at", F.lit(-1)).alias("broken_at"), "n_letters")
 
 
 def tokenize_lines(lines: DataFrame, line: str, chunk: int = CHUNK) -> DataFrame:
@@ -150,13 +180,15 @@ def tokenize_lines(lines: DataFrame, line: str, chunk: int = CHUNK) -> DataFrame
     fields: the unquoted values. field_at: where each field begins, in characters from 0. broken_at: the first
     character that breaks the quoting rules (the line's length where a quote is never closed), else -1. A null line
     has null fields; an empty one has one empty field. Lines longer than ``chunk`` characters are cut up and their
-    chunks spread over the cluster; of those, rows equal in every column come out once.
+    chunks spread over the cluster. Every row comes out, equal ones as often as they came in.
     """
     others = [F.col(f"`{c}`") for c in lines.columns if c != line] or [F.lit(True).alias("no_other")]
     text = lines.select(F.struct(*others).alias("rest"), F.col(f"`{line}`").alias("line"))
     short = text.filter(F.col("line").isNull() | (F.length("line") <= chunk)).select("rest", F.col("line").isNull().alias("none"), F.col("line").alias("chunk"), F.lit(START).alias("start_state"))
     short = _scanned(short).select("rest", *(F.when(~F.col("none"), F.col(c)).alias(c) for c in ("fields", "field_at")), "end_state", "broken_at", "n_letters")
-    both = short.unionByName(_long_lines(text.filter(F.length("line") > chunk), chunk))
+    # a name for each long row, made once and kept in the shared folder
+    long = cut(text.filter(F.length("line") > chunk).select(F.expr("uuid()").alias("line_key"), "rest", "line"), "long-lines")
+    both = short if long.isEmpty() else short.unionByName(_long_lines(long, chunk))
     return both.select("rest", "fields", "field_at", F.when(F.col("broken_at") >= 0, F.col("broken_at")).when(F.col("end_state") == QUOTED, F.col("n_letters")).otherwise(-1).alias("broken_at"), "n_letters")
 
 
@@ -171,7 +203,7 @@ def parse_read_lines(lines: DataFrame, line: str = "line", chunk: int = CHUNK) -
     ``record_no DECIMAL(38,0), header, seq, qual STRING, seq_len INT`` (null where a reason is given), ``reason`` (null
     for a good line) and ``error_at``, the character from which the reason holds. Reasons, the first that applies:
     quoting, columns (a null line too, at 0), record_no, header, seq, qual, seq_len. A record number of more than
-    38 digits is valid but has no value. No row is lost; rows equal in every column may be merged if they are long.
+    38 digits is valid but has no value. No row is lost and none merged, however long or often repeated.
     """
     tokens = tokenize_lines(lines, line, chunk)
     no, header, seq, qual, size = (F.coalesce(F.get("fields", F.lit(i)), F.lit("")) for i in range(5))

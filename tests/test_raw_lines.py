@@ -112,3 +112,12 @@ def test_lines_alone(spark):
     df = spark.createDataFrame([('"' + "x," * 5000 + '"',), ("a,b",)], "line string")
     assert sorted(len(r.fields) for r in tokenize_lines(df, "line").collect()) == [1, 2]
     assert {r.reason for r in parse_read_lines(df).collect()} == {"columns"}
+
+
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_long_rows_stay_apart(spark, chunk):
+    """Equal rows, and rows that differ by a microsecond, come out as often as they came in, whatever the length of the line."""
+    line = "1,>h," + "ACGT" * 2000 + ",,8000"
+    df = spark.sql(f"SELECT * FROM VALUES (1, TIMESTAMP'2024-01-01 00:00:00.000001'), (1, TIMESTAMP'2024-01-01 00:00:00.000002'), (1, TIMESTAMP'2024-01-01 00:00:00.000001') AS t(id, at), (SELECT '{line}' AS line)")
+    got = parse_read_lines(df, chunk=chunk).collect()
+    assert sorted(r.at.microsecond for r in got) == [1, 1, 2] and {r.seq_len for r in got} == {8000} and {r.reason for r in got} == {None}
