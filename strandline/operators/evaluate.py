@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import hamming_full, reverse_complement, window_with_overlap
+from .windows import with_stretch
 
 
 def truth_windows(sam: DataFrame, genome: DataFrame, w: int, k: int, overlap: int) -> DataFrame:
@@ -43,13 +44,16 @@ def mapping_status(mapped: DataFrame, truth: DataFrame, genome: DataFrame, most_
     """
     m = mapped.select("read_id", F.col("chrom_id").alias("mc"), F.col("pos").alias("mp"), F.col("orientation").alias("mo"))
     t = truth.select("read_id", F.col("chrom_id").alias("tc"), F.col("pos").alias("tp"), F.col("orientation").alias("to"), "read_len")
-    g = genome.select("chrom_id", "seq", "len")
+    most = truth.agg(F.max("read_len")).first()[0] or 0
+    g = genome.select("chrom_id", "len")
     sided = (
         t.join(m, "read_id", "left")
-        .join(g.select(F.col("chrom_id").alias("mc"), F.col("seq").alias("ms"), F.col("len").alias("ml")), "mc", "left")
-        .join(g.select(F.col("chrom_id").alias("tc"), F.col("seq").alias("ts"), F.col("len").alias("tl")), "tc", "left")
+        .join(g.select(F.col("chrom_id").alias("mc"), F.col("len").alias("ml")), "mc", "left")
+        .join(g.select(F.col("chrom_id").alias("tc"), F.col("len").alias("tl")), "tc", "left")
     )
-    a, b = F.substring("ts", F.col("tp") + 1, F.col("read_len")), F.substring("ms", F.col("mp") + 1, F.col("read_len"))
+    for name, c, p in (("_a", "tc", "tp"), ("_b", "mc", "mp")):
+        sided = with_stretch(sided.withColumnRenamed(c, "chrom_id"), genome, F.greatest(F.coalesce(p, F.lit(0)), F.lit(0)), F.col("read_len"), name, most).withColumnRenamed("chrom_id", c)
+    a, b = F.col("_a"), F.col("_b")
     chrom, strand, place = F.col("mc") == F.col("tc"), F.col("mo") == F.col("to"), F.col("mp") == F.col("tp")
     near = F.when(chrom & strand & place, True).otherwise(F.least(hamming_full(a, b), hamming_full(reverse_complement(a), b)) <= most_mismatches)
     bits = F.concat(*(x.cast("int").cast("string") for x in (chrom, strand, place, near)))

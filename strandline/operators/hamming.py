@@ -14,7 +14,7 @@ from ..functions.arrow import bounded, flat_bytes
 from ..functions.sequence import clean_reads, extend_window, reverse_complement
 from ..shared import spread
 from .minhash import candidates, minhash
-from .windows import windows
+from .windows import longest, windows, with_stretch
 
 FORWARD, REVERSED, NONE = 1, 2, 3
 
@@ -93,12 +93,8 @@ def map_reads(reads: DataFrame, genome: DataFrame, k: int = 16, w: int = 128, ha
     """
     cleaned = clean_reads(reads.filter(F.col("seq").isNotNull())).select("read_id", F.col("clean").alias("seq"))
     found = candidates(minhash(windows(genome, k, w), ["chrom_id", "pos"], "seq", k, hashes), minhash(cleaned, ["read_id"], "seq", k, hashes), most, min_hits, mode)
-    sided = found.join(cleaned.withColumnRenamed("seq", "read_seq"), "read_id")
-    ext = extend_window("pos", w, F.expr("length(read_seq) div 2").cast("int"), "len")
-    # the genome comes last: candidates are already few, and only a small genome is broadcast (by its size, automatically)
-    placed = sided.join(genome.select("chrom_id", "seq", "len"), "chrom_id").withColumn("e", ext)
-    pairs = placed.select(
-        "read_id", "chrom_id", "pos", F.col("e.start").alias("ext_start"), F.col("e.len").alias("ext_len"), F.length("read_seq").alias("read_len"),
-        F.substring("seq", F.col("e.start") + 1, F.col("e.len")).alias("window_seq"), "read_seq",
-    ).filter(F.col("read_len") <= F.col("ext_len"))
+    sided = found.join(cleaned.withColumnRenamed("seq", "read_seq"), "read_id").join(genome.select("chrom_id", "len"), "chrom_id")
+    placed = sided.withColumn("e", extend_window("pos", w, F.expr("length(read_seq) div 2").cast("int"), "len"))
+    placed = placed.select("read_id", "chrom_id", "pos", F.col("e.start").alias("ext_start"), F.col("e.len").alias("ext_len"), F.length("read_seq").alias("read_len"), "read_seq").filter(F.col("read_len") <= F.col("ext_len"))
+    pairs = with_stretch(placed, genome, "ext_start", F.col("ext_len"), "window_seq", w + longest(reads))
     return best_hits(shifted_hamming(pairs, ratio))

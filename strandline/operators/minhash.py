@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrow import bounded, flat_bytes, packed_kmers
+from ..shared import cut
 
 #: fixed values: the 64-bit finalizer of MurmurHash3 (public domain)
 _MUL_1, _MUL_2, _SHIFT = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
@@ -125,23 +126,33 @@ def capped(signatures: DataFrame, most: int | Column, mode: str = "truncate", by
     return usual.unionByName(kept.select(*signatures.columns))
 
 
-def _spread_buckets(window_signatures: DataFrame, read_signatures: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``salt``: reads of a bucket of more than ``block`` in as many parts as it takes, its windows once for each part."""
+def _spread_buckets(windows: DataFrame, reads: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``part`` and ``other``: a bucket with more than ``block`` entries on a side is cut into as many parts as it takes, each met by every part of the other side."""
     by = ["h", "key"]
-    large = read_signatures.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > block).select(*by, F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    reads = read_signatures.join(large, by, "left").withColumn("salt", F.pmod(F.xxhash64("read_id"), parts).cast("int")).drop("parts")
-    return window_signatures.join(large, by, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"), reads
 
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > block).select(*by, F.ceil(F.col("n") / block).cast("int").alias(name))
 
-def candidates(window_signatures: DataFrame, read_signatures: DataFrame, most: int = 65_535, min_hits: int = 4, mode: str = "all") -> DataFrame:
+    # few keys: each stands for more than ``block`` rows
+    large = parts(windows, "w").join(parts(reads, "r"), by, "full").select(*by, F.coalesce("w", F.lit(1)).alias("w"), F.coalesce("r", F.lit(1)).alias("r"))
+
+    def cut_up(df: DataFrame, own: str, other: str, of: Column) -> DataFrame:
+        sized = df.join(large, by, "left").withColumn("w", F.coalesce("w", F.lit(1))).withColumn("r", F.coalesce("r", F.lit(1)))
+        return sized.withColumn(f"_{own}", F.pmod(of, F.col(own)).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("w", "r")
+
+    return cut_up(windows, "w", "r", F.xxhash64("chrom_id", "pos")), cut_up(reads, "r", "w", F.xxhash64("read_id"))
+
+
+def candidates(window_signatures: DataFrame, read_signatures: DataFrame, most: int = 65_535, min_hits: int = 4, mode: str = "all", block: int = 8192) -> DataFrame:
     """``chrom_id, pos, read_id, hits``: windows and reads that meet in at least ``min_hits`` of their buckets.
 
-    mode ``all``: every read of a bucket counts, and a bucket of more than ``most`` is joined in parts; ``truncate`` and ``drop`` cut such buckets (J8).
+    mode ``all``: every read of a bucket counts, and a bucket of more than ``block`` entries on either side is joined in parts; ``truncate`` and ``drop`` cut buckets of more than ``most`` reads (J8).
     """
+    # made by Python and read more than once
+    window_signatures, read_signatures = cut(window_signatures, "window-signatures"), cut(read_signatures, "read-signatures")
     if mode == "all":
-        left, right = _spread_buckets(window_signatures, read_signatures, most)
-        met = left.join(right, ["h", "key", "salt"])
+        left, right = _spread_buckets(window_signatures, read_signatures, block)
+        met = left.join(right, ["h", "key", "_w", "_r"])
     else:
         met = window_signatures.join(capped(read_signatures, most, mode), ["h", "key"])
     return met.groupBy("chrom_id", "pos", "read_id").agg(F.count("*").alias("hits")).filter(F.col("hits") >= min_hits)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.arrow import bounded, flat_bytes
 from .prefix import prefix_sums
 
 
@@ -20,15 +26,74 @@ def window_counts(genome: DataFrame, k: int, w: int) -> DataFrame:
     return prefix_sums(n, "chrom_id", "n_windows", exclusive="first_window")
 
 
+def _tiled(size: int, overlap: int):
+    """Each text in tiles of ``size`` characters, each with the ``overlap`` characters after it, cut in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "seq", 1 << 22):
+            raw, offsets = flat_bytes(batch.column("seq"))
+            letter = (raw & 0xC0) != 0x80
+            # where each character begins; a byte is a character in nearly every text
+            place = None if letter.all() else np.append(np.flatnonzero(letter), len(raw))
+            bounds = offsets if place is None else np.searchsorted(place, offsets)
+            length = np.diff(bounds)
+            count = -(-length // size)
+            row = np.repeat(np.arange(len(count)), count)
+            tile = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+            first = bounds[:-1][row] + tile * size
+            last = np.minimum(first + size + overlap, bounds[1:][row])
+            if place is not None:
+                first, last = place[first], place[last]
+            step = max(1, (1 << 22) // (size + overlap))
+            for at in range(0, len(row), step):
+                part = slice(at, at + step)
+                n = last[part] - first[part]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                take = np.arange(ends[-1]) + np.repeat(first[part] - ends[:-1], n)
+                texts = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(raw[take].tobytes()))
+                chrom = batch.column("chrom_id").take(pa.array(row[part]))
+                yield pa.RecordBatch.from_arrays([chrom, pa.array(tile[part].astype(np.int32)), pa.array(length[row[part]].astype(np.int32)), texts.cast(pa.string())], names=["chrom_id", "tile", "len", "text"])
+
+    return run
+
+
+def tiles(genome: DataFrame, size: int, overlap: int) -> DataFrame:
+    """``chrom_id, tile, len, text``: each sequence in tiles of ``size`` letters and the ``overlap`` letters after each; len is that of the whole. Empty sequences have none."""
+    schema = T.StructType([genome.schema["chrom_id"], T.StructField("tile", T.IntegerType()), T.StructField("len", T.IntegerType()), T.StructField("text", T.StringType())])
+    return genome.select("chrom_id", "seq").mapInArrow(_tiled(size, overlap), schema)
+
+
+def longest(df: DataFrame, text: str = "seq") -> int:
+    """The length of the longest text; 0 if there is none."""
+    return df.agg(F.max(F.length(text))).first()[0] or 0
+
+
+def with_stretch(df: DataFrame, genome: DataFrame, start: Column | str, length: Column | int, name: str, most: int, least_tile: int = 4096) -> DataFrame:
+    """``df`` (with chrom_id) and ``name``: the ``length`` letters of its chromosome from ``start`` (0-based, not negative), fewer at the end, none beyond it.
+
+    most: no length is greater. Rows meet tiles of the genome, not chromosomes, so no row carries a chromosome and a chromosome is no hot key.
+    """
+    size = max(least_tile, 1 << max(0, most - 1).bit_length())
+    start = F.col(start) if isinstance(start, str) else start
+    asked = df.withColumn("_start", start.cast("int")).withColumn("_tile", F.expr(f"_start div {size}").cast("int"))
+    held = tiles(genome, size, size).select(F.col("chrom_id").alias("_c"), F.col("tile").alias("_t"), F.col("text").alias("_text"))
+    joined = asked.join(held, (F.col("chrom_id") == F.col("_c")) & (F.col("_tile") == F.col("_t")), "left")
+    count = F.lit(length) if isinstance(length, int) else length
+    got = F.coalesce(F.substring("_text", F.col("_start") - F.col("_tile") * size + 1, count), F.lit(""))
+    return joined.withColumn(name, got).drop("_start", "_tile", "_c", "_t", "_text")
+
+
 def windows(genome: DataFrame, k: int, w: int, limit: int | None = None) -> DataFrame:
     """``chrom_id, window_id, pos, len, seq``: windows at a stride of w - k + 1; the last of a chromosome may be short.
 
-    limit (W5): only the first so many in order of chromosome and position.
+    Chromosomes are first cut into tiles of 32 windows, so the work grows as their length. limit (W5): only the first so many in order of chromosome and position.
     """
-    stride = w - k + 1
-    ids = F.sequence(F.lit(0), F.ceil(F.col("len") / stride).cast("int") - 1)
-    out = genome.filter(F.col("len") > 0).select("chrom_id", "seq", F.explode(ids).alias("window_id"))
-    out = out.select("chrom_id", "window_id", (F.col("window_id") * stride).alias("pos"), F.substring("seq", F.col("window_id") * stride + 1, F.lit(w)).alias("seq")).withColumn("len", F.length("seq"))
+    stride, many = w - k + 1, 32
+    rest = F.col("len") - F.col("tile") * (many * stride)
+    ids = F.sequence(F.lit(0), F.least(F.lit(many), F.ceil(rest / stride)).cast("int") - 1)
+    out = tiles(genome, many * stride, k - 1).select("chrom_id", "tile", "text", F.explode(ids).alias("i"))
+    out = out.select("chrom_id", (F.col("tile") * many + F.col("i")).alias("window_id"), F.substring("text", F.col("i") * stride + 1, F.lit(w)).alias("seq"))
+    out = out.select("chrom_id", "window_id", (F.col("window_id") * stride).alias("pos"), "seq").withColumn("len", F.length("seq"))
     return out if limit is None else out.orderBy("chrom_id", "pos").limit(limit)
 
 

@@ -127,7 +127,7 @@ def filter_p6_mapq(spark, d):
 
 @query(f"WITH {R._H} SELECT read_id, i AS place, whole[pos + i + 1] AS ref, oriented[i + 1] AS alt FROM (SELECT *, CAST(unnest(range(least(n, len - pos))) AS INT) AS i FROM h WHERE n > 0) WHERE whole[pos + i + 1] IN ('A', 'C', 'G', 'T') AND oriented[i + 1] IN ('A', 'C', 'G', 'T') AND whole[pos + i + 1] <> oriented[i + 1]")
 def filter_p7_bases(spark, d):
-    h = R.hits(spark, d).filter("n > 0").withColumn("ref", F.expr("substring(whole, pos + 1, n)"))
+    h = R.stretched(spark, d, R.hits(spark, d).filter("n > 0"), F.col("pos"), F.col("n"), "ref")
     each = h.select("read_id", F.posexplode(F.arrays_zip(F.split("ref", "").alias("ref"), F.split(F.left("oriented", F.length("ref")), "").alias("alt"))).alias("place", "x")).select("read_id", "place", "x.ref", "x.alt")
     return each.filter(is_variant(F.col("ref"), F.col("alt")))
 
@@ -140,7 +140,7 @@ def filter_p11_edit_bound(spark, d):
 @query()
 def filter_p10_score(spark, d):
     """Alignments whose CIGAR is only given from a score on (P10)."""
-    pairs = R.hits(spark, d).filter("n > 0").select("read_id", "oriented", F.expr("substring(whole, pos + 1, n + 10)").alias("target"))
+    pairs = R.stretched(spark, d, R.hits(spark, d).filter("n > 0"), F.col("pos"), F.col("n") + 10, "target").select("read_id", "oriented", "target")
     return spread(pairs).select("read_id", local_align("oriented", "target", score_filter=180, distance_filter=150).alias("a")).select("read_id", "a.score", "a.cigar")
 
 

@@ -11,7 +11,7 @@ from ..functions.sequence import cigar_span, is_ambiguous, mapq, reverse_complem
 from ..operators.align import bisulfite_align, edit_align
 from ..operators.hamming import map_reads
 from ..operators.variants import call_variants
-from ..operators.windows import load_genome
+from ..operators.windows import load_genome, longest, with_stretch
 from ..options import Options
 from ..shared import spread
 
@@ -33,8 +33,12 @@ def alignments(reads: DataFrame, genome: DataFrame, options: Options = Options()
     ready = load_genome(genome)
     found = mapped(reads, genome, options) if hits is None else hits
     texts = reads.filter(F.col("seq").isNotNull()).select("read_id", F.upper("seq").alias("query")).distinct()
-    placed = found.join(texts, "read_id").join(ready.select("chrom_id", F.trim(F.split("name", r"\s")[0]).alias("chrom"), "seq"), "chrom_id")
-    pairs = placed.select("read_id", "chrom_id", "chrom", "ext_start", "query", F.substring("seq", F.col("ext_start") + 1, F.col("ext_len")).alias("ref"), F.when(F.col("ext_start") > 0, F.substring("seq", F.col("ext_start"), F.lit(1))).otherwise("N").alias("_before"))
+    names = ready.select("chrom_id", F.trim(F.split("name", r"\s")[0]).alias("chrom"))
+    sided = found.join(texts, "read_id").join(names, "chrom_id")
+    # the letter before the window comes along
+    early = (F.col("ext_start") > 0).cast("int")
+    placed = with_stretch(sided, ready, F.col("ext_start") - early, F.col("ext_len") + early, "_whole", options.window_size + longest(reads) + 1)
+    pairs = placed.select("read_id", "chrom_id", "chrom", "ext_start", "query", F.substring("_whole", early + 1, F.col("ext_len")).alias("ref"), F.when(F.col("ext_start") > 0, F.left("_whole", F.lit(1))).otherwise("N").alias("_before"))
     if mapper is not None:
         out = mapper(pairs)
     elif options.mapper == "sw":

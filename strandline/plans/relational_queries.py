@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -13,7 +13,7 @@ from ..operators.hamming import shifted_hamming
 from ..operators.minhash import bottom_sketch, candidates, capped, kmer_lists, minhash
 from ..operators.prefix import prefix_sums
 from ..operators.variants import call_variants, cigar_variants, concordance, concordance_summary, variant_counts
-from ..operators.windows import windows
+from ..operators.windows import longest, windows, with_stretch
 from ..options import Options
 from ..shared import scratch, spread, table
 from ..sources import tables as X
@@ -38,13 +38,18 @@ _H = f"""{_G}, {_R}, m AS (SELECT DISTINCT read_id, CAST(orientation AS INT) AS
 def hits(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "mapped_reads").filter("orientation IN (1, 2) AND window_pos >= 0 AND shift >= 0 AND hamming >= 0")
     m = m.select("read_id", F.col("orientation").cast("int").alias("orientation"), "hamming", F.lower(F.trim("chrom")).alias("c"), (F.col("window_pos") + F.col("shift")).alias("pos"))
-    g = genome(spark, d).select("chrom_id", F.regexp_extract("name", r"^\s*(\S+)", 1).alias("chrom"), F.col("seq").alias("whole"), "len").withColumn("c", F.lower("chrom"))
+    g = genome(spark, d).select("chrom_id", F.regexp_extract("name", r"^\s*(\S+)", 1).alias("chrom"), "len").withColumn("c", F.lower("chrom"))
     best = m.join(g.select("c", "chrom_id"), "c").groupBy("read_id").agg(F.min(F.struct("hamming", "chrom_id", "pos", "orientation")).alias("b")).select("read_id", "b.*")
     r = reads(spark, d).filter(F.col("seq").isNotNull()).select("read_id", F.col("seq").alias("read"), "qual", "file_id")
     out = best.join(r, "read_id").join(g.drop("c"), "chrom_id").withColumn("n", F.length("read"))
     return out.withColumn("oriented", F.when(F.col("orientation") == 2, S.reverse_complement("read")).otherwise(F.col("read")))
 
 
+def stretched(spark, d, df: DataFrame, start: Column, length: Column | int, name: str) -> DataFrame:
+    """``df`` with the stretch of its chromosome from ``start`` on; no longer than the longest read and 128 more."""
+    return with_stretch(df, genome(spark, d), start, length, name, 128 + longest(table(spark, d, "read_records")))
+
+
 # sources and sinks
 
 
@@ -69,9 +74,16 @@ def s11_fasta_index(spark, d):
     return X.fasta_index(genome(spark, d), 60)
 
 
+def _sliced(spark, d, df: DataFrame, span: Column) -> DataFrame:
+    """``prefix`` and ``ref`` of each hit, from the tiles of its chromosome."""
+    early = (F.col("pos") > 0).cast("int")
+    got = stretched(spark, d, df, F.col("pos") - early, span + early, "_s")
+    return got.withColumn("s", X.reference_slice(F.col("_s"), early, span)).select("*", "s.prefix", "s.ref").drop("_s", "s")
+
+
 @query(f"WITH {_H} SELECT read_id, CASE WHEN pos > 0 THEN substr(whole, pos, 1) ELSE 'N' END AS prefix, substr(whole, pos + 1, 82) AS ref FROM h")
 def s13_reference_slices(spark, d):
-    return hits(spark, d).withColumn("s", X.reference_slice("whole", "pos")).select("read_id", "s.prefix", "s.ref")
+    return _sliced(spark, d, hits(spark, d), F.lit(82)).select("read_id", "prefix", "ref")
 
 
 @query("SELECT run, bam, concat(run, '_', regexp_replace(bam, '\\.bam$', '')) AS file, count(DISTINCT read_id) AS n_reads FROM run_metadata m LEFT JOIN read_records r USING (file_id) WHERE bam IS NOT NULL GROUP BY ALL")
@@ -109,8 +121,8 @@ _V = f"""{_H}, v AS (SELECT DISTINCT chrom_id, chrom, CAST(pos + i AS INT) AS po
 
 def ungapped(spark, d) -> DataFrame:
     """The hits as alignments without gaps."""
-    h = hits(spark, d).filter("n > 0").withColumn("s", X.reference_slice(F.col("whole"), F.col("pos"), F.col("n")))
-    return h.select("read_id", "file_id", "chrom_id", "chrom", "pos", F.lit(60).alias("mapq"), F.concat(F.least("n", F.col("len") - F.col("pos")).cast("string"), F.lit("M")).alias("cigar"), "s.prefix", "s.ref", F.col("oriented").alias("alt"))
+    h = _sliced(spark, d, hits(spark, d).filter("n > 0"), F.col("n"))
+    return h.select("read_id", "file_id", "chrom_id", "chrom", "pos", F.lit(60).alias("mapq"), F.concat(F.least("n", F.col("len") - F.col("pos")).cast("string"), F.lit("M")).alias("cigar"), "prefix", "ref", F.col("oriented").alias("alt"))
 
 
 @query(f"WITH {_V} SELECT chrom_id, pos, ref, alt FROM v")
@@ -299,7 +311,7 @@ def j15_all_mates(spark, d):
 
 @query(f"WITH {_H} SELECT read_id, chrom_id, pos, substr(whole, pos + 1, 128) AS seq FROM h")
 def j10_window_texts(spark, d):
-    return hits(spark, d).select("read_id", "chrom_id", "pos", F.substring("whole", F.col("pos") + 1, F.lit(128)).alias("seq"))
+    return stretched(spark, d, hits(spark, d).select("read_id", "chrom_id", "pos"), F.col("pos"), 128, "seq")
 
 
 @query(f"WITH {_B} SELECT a.read_id FROM (SELECT DISTINCT read_id FROM b WHERE h = 0) a SEMI JOIN (SELECT DISTINCT read_id // 2 AS pair FROM b WHERE h = 1) c ON a.read_id // 2 = c.pair")
@@ -332,7 +344,13 @@ _P = f"{_H}, p AS (SELECT read_id, chrom_id, greatest(pos - 40, 0) AS pos, subst
 def _pairs(spark, d) -> DataFrame:
     """Reads with the stretch around their hit."""
     h = hits(spark, d).filter("n > 0").withColumn("start", F.greatest(F.col("pos") - 40, F.lit(0)))
-    return h.select("read_id", "chrom_id", F.col("start").alias("pos"), F.substring("whole", F.col("start") + 1, F.col("n") + 60).alias("window_seq"), F.col("read").alias("read_seq"))
+    return stretched(spark, d, h, F.col("start"), F.col("n") + 60, "window_seq").select("read_id", "chrom_id", F.col("start").alias("pos"), "window_seq", F.col("read").alias("read_seq"))
+
+
+def _oriented_pairs(spark, d) -> DataFrame:
+    """Reads as they lie on the chromosome, with the stretch around their hit."""
+    h = hits(spark, d).filter("n > 0").select("read_id", "chrom_id", "oriented", "pos", "n")
+    return stretched(spark, d, h, F.greatest(F.col("pos") - 40, F.lit(0)), F.col("n") + 60, "target").select("read_id", "oriented", "target")
 
 
 @query(f"WITH {_P}, {_D} SELECT read_id, chrom_id, pos, CAST(CASE WHEN hamming <= floor(n::FLOAT * 0.1::FLOAT) THEN orientation ELSE 3 END AS TINYINT) AS orientation, CAST(CASE WHEN hamming <= floor(n::FLOAT * 0.1::FLOAT) THEN hamming END AS INT) AS hamming, CAST(CASE WHEN hamming <= floor(n::FLOAT * 0.1::FLOAT) THEN shift END AS INT) AS shift FROM sh")
@@ -473,8 +491,7 @@ def l8_edit_align(spark, d):
 @query()
 def l9_edit_locations(spark, d):
     """Each oriented read anywhere in its stretch, with path (L8 - L12, F28); tested against a plain table."""
-    h = hits(spark, d).filter("n > 0")
-    pairs = h.select("read_id", "oriented", F.substring("whole", F.greatest(F.col("pos") - 40, F.lit(0)) + 1, F.col("n") + 60).alias("target"))
+    pairs = _oriented_pairs(spark, d)
     found = spread(pairs).withColumn("e", edit_align("oriented", "target", "HW", True))
     shown = found.withColumn("p", pretty(F.col("e.path"), F.col("oriented"), F.expr("substring(target, e.locations[0].start + 1)")))
     return shown.select("read_id", "e.edit_distance", F.col("e.locations")[0]["start"].alias("start"), F.col("e.locations")[0]["end"].alias("stop"), "e.cigar", F.col("p.signs").alias("signs"))
@@ -483,8 +500,7 @@ def l9_edit_locations(spark, d):
 @query()
 def l1_local_align(spark, d):
     """Each oriented read against its stretch (L1 - L5); tested against a plain table."""
-    h = hits(spark, d).filter("n > 0")
-    pairs = h.select("read_id", "oriented", F.substring("whole", F.greatest(F.col("pos") - 40, F.lit(0)) + 1, F.col("n") + 60).alias("target"))
+    pairs = _oriented_pairs(spark, d)
     return spread(pairs).select("read_id", local_align("oriented", "target").alias("a")).select("read_id", "a.*")
 
 
