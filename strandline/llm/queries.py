@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import table
-from .leaks import leaked_windows
+from .leaks import RADIUS, leaked_windows
 from .mixing import mix_sources
 from .near_reads import alike_groups, alike_pairs
 from .pieces import genome_pieces
@@ -114,13 +114,14 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_P6} SELECT doc_id, item_id FROM leaks")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).filter("same").select("doc_id", "item_id").distinct()
+    # equal windows have equal fingerprints: all of these come from the blocks
+    return _leaks(spark, d).filter(F.col("same") & (F.col("apart") <= RADIUS)).select("doc_id", "item_id").distinct()
 
 
 @query()
 def p6_windows(spark: SparkSession, d: str) -> DataFrame:
-    """For each document and item, how many windows are equal or nearly so."""
-    return _leaks(spark, d).groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_item_windows"), F.max("similarity").alias("similarity"), F.max(F.col("same").cast("int")).alias("same"))
+    """For each document and item, how many of the item's windows stand there, equal or nearly so, and how many of those the blocks alone give."""
+    return _leaks(spark, d).groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_item_windows"), F.countDistinct(F.when(F.col("apart") <= RADIUS, F.col("item_at"))).alias("n_within_radius"), F.max("similarity").alias("similarity"), F.max(F.col("same").cast("int")).alias("same"))
 
 
 _P8 = r"""WITH c AS (SELECT list(DISTINCT lower(word)) AS cw FROM common_words),

@@ -67,16 +67,32 @@ def test_leaks_are_those_of_brute_force(spark, most):
 
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 2**63, 300).astype(np.uint64)
-    b = a.copy()
-    for i in range(300):
-        for bit in rng.choice(64, size=i % 4, replace=False):
-            b[i] ^= np.uint64(1) << np.uint64(bit)
-    for radius in (3, 5):
-        equal = np.zeros(300, dtype=bool)
-        for i in range(radius + 1):
-            equal |= leaks._block(a, i, radius) == leaks._block(b, i, radius)
-        assert equal.all()
+    hashes = rng.integers(0, 2**63, 400).astype(np.int64)
+    index = leaks._Index(np.array([400]), hashes, 13, 5, 8)
+    mine = index.prints.copy()
+    for i in range(len(mine)):
+        for bit in rng.choice(64, size=i % (leaks.RADIUS + 3), replace=False):
+            mine[i] ^= np.uint64(1) << np.uint64(bit)
+    got = set(zip(*map(list, index.within(mine))))
+    assert got == {(i, j) for i, a in enumerate(mine) for j, b in enumerate(index.prints) if int(a ^ b).bit_count() <= leaks.RADIUS}
+
+
+def test_share_of_near_windows_within_the_radius():
+    """A window with its first or last word changed has the similarity of the threshold, 0.8: at least nine of ten must come from the blocks alone."""
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2**63, 13 * 4000).astype(np.uint64).reshape(-1, 13)
+    other = words.copy()
+    other[np.arange(4000), np.where(np.arange(4000) % 2, 0, 12)] = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    prints = [leaks._prints(leaks._sets(leaks._shingles(x.ravel(), 5), np.arange(4000) * 13, 9)) for x in (words, other)]
+    assert (np.bitwise_count(prints[0] ^ prints[1]) <= leaks.RADIUS).mean() > 0.97
+
+
+def test_repeated_ids_are_texts_of_their_own(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (1, "other words " + text), (1, "short")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(f"x{i}" for i in range(20))), (5, "a b " + " ".join(f"w{i}" for i in range(15)))], "item_id long, text string")
+    got = {(r.doc_at, r.item_at) for r in leaked_windows(docs, items, "doc_id", "item_id", most_windows=1).filter("same").collect()}
+    assert got == {(i, i + 2) for i in range(3)} | {(i + 2, i + 2) for i in range(3)}
 
 
 def test_no_rows(spark):
