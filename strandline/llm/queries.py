@@ -171,3 +171,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     mixture, report = _mixture(spark, d)
     counted = mixture.groupBy("source").agg(F.sum("n_tokens").alias("counted_tokens"), F.max(F.col("copy") + 1).alias("most_uses"))
     return report.drop("most_uses").join(counted, "source", "left").withColumn("counted_tokens", F.coalesce("counted_tokens", F.lit(0)))
+
+
+@query("""WITH n AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents WHERE length(text) > 0 GROUP BY 1), t AS (SELECT source, target_share, max_repeats, coalesce(n, 0) AS n FROM mix_targets LEFT JOIN n USING (source))
+    SELECT source, CAST(n AS BIGINT) AS n_documents, round(CASE WHEN n > 0 THEN target_share / (SELECT sum(target_share) FROM t WHERE n > 0) ELSE 0 END, 9) AS share_due, true AS share_met, true AS counts_agree, CAST(0 AS BIGINT) AS over_cap FROM t""")
+def p7_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the mixture, counted document by document, keeps what is asked: shares up to a block, caps, and the report's own numbers."""
+    mixture, report = _mixture(spark, d)
+    uses = mixture.groupBy("source", "document.doc_id").agg(F.count("*").alias("uses"), F.countDistinct("copy").alias("copies"), F.sum("n_tokens").alias("tokens"))
+    counted = uses.join(table(spark, d, "mix_targets").select("source", F.col("max_repeats").alias("cap")), "source").groupBy("source").agg(
+        F.sum("tokens").alias("counted"), F.count_if((F.col("uses") > F.col("cap")) | (F.col("uses") > F.col("copies"))).alias("over_cap")
+    )
+    n = table(spark, d, "documents").filter(F.length("text") > 0).groupBy("source").agg(F.countDistinct("doc_id").alias("n_documents"))
+    quotas = report.agg(F.sum("quota_tokens")).first()[0] or 1.0  # of a table the driver made
+    whole = report.join(counted, "source", "left").join(n, "source", "left")
+    return whole.select(
+        "source", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.round(F.col("quota_tokens") / F.lit(quotas), 9).alias("share_due"),
+        (F.abs(F.coalesce("counted", F.lit(0)) - F.col("quota_tokens")) <= F.col("largest_block")).alias("share_met"),
+        (F.coalesce("counted", F.lit(0)) == F.col("n_tokens")).alias("counts_agree"), F.coalesce("over_cap", F.lit(0)).alias("over_cap"),
+    )

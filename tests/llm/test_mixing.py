@@ -52,6 +52,28 @@ def test_the_tree_keeps_every_draw():
     assert all(sorted((a[p] * np.arange(12) + c[p]) % 12) == list(range(12)) for p in range(20))
 
 
+def test_shards_are_many_and_alike(spark):
+    """Two levels of the tree, repeated rows once, one source of nearly all documents, and no shard far over the mean."""
+    rows = [(i, "word " * (1 + i % 17), "ab"[i % 10 == 0]) for i in range(4000)]
+    df = spark.createDataFrame(rows + rows[:500], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, None)], "source string, target_share double, max_repeats int")
+    mixture, report = mix_sources(df, targets, blocks=256, shard_tokens=400)
+    sizes = [r.n for r in mixture.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()]
+    assert len(sizes) == max(32, -(-sum(sizes) // 400)) >= 100 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    uses = mixture.groupBy("source", "document.doc_id").count().collect()
+    assert sum(r.source == "a" for r in uses) > 1500 and all(r["count"] == 1 for r in uses if r.source == "a")
+    counted = {r.source: r.n for r in mixture.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert counted == {r.source: r.n_tokens for r in report.collect()}
+
+
+def test_very_many_uses_of_one_document(spark):
+    df = spark.createDataFrame([(1, "one two", "a"), (2, "x " * 3000, "b")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.9, None), ("b", 0.1, 1)], "source string, target_share double, max_repeats int")
+    mixture, _ = mix_sources(df, targets, total=30_000)
+    copies = sorted(r.copy for r in mixture.filter("source = 'a'").select("copy").collect())
+    assert copies == list(range(len(copies))) and len(copies) > 8192
+
+
 def test_no_rows(spark):
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     mixture, report = mix_sources(docs(spark).filter("doc_id < 0"), targets)
