@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from strandline.llm.spans import SpanIndex, shared_spans
+from strandline.llm.spans import SpanIndex, _runs_are_sorted, shared_spans
+from strandline.shared import scratch
 
 
 def plain(rows, length):
@@ -73,3 +75,44 @@ def test_no_rows_and_long_runs(spark):
     assert shared_spans(df.filter("id > 5"), "id", "seq", 64).count() == 0
     got = {(r.id, r.span_start, r.span_end) for r in shared_spans(df, "id", "seq", 64).collect()}
     assert got == {(0, 0, 200_000), (1, 0, 120_000)}
+
+
+def test_all_rows_of_an_id_are_verified(spark):
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    rows, want = [], set()
+    for i in range(40):
+        t = text(100)
+        rows += [(2 * i, t), (2 * i + 1, text(7) + t), (2 * i, text(20) + "N" * rnd.randrange(3)), (2 * i + 1, "N" * 90)]
+        want |= {(2 * i, 0, 100), (2 * i + 1, 7, 107)}
+    got = {(r.id, r.span_start, r.span_end) for r in shared_spans(spark.createDataFrame(rows, "id int, seq string"), "id", "seq", 64).collect()}
+    assert got == want and len(got) == 80
+
+
+def test_an_index_is_opened_again(spark):
+    folder, rnd = scratch(spark, "index"), random.Random(6)
+    texts = ["".join(rnd.choice("ACGT") for _ in range(300)) for _ in range(4)]
+    first = SpanIndex(spark, 32, 2, folder)
+    assert first.add(spark.createDataFrame(list(enumerate(texts)), "id long, seq string")).count() == 0
+    first.close()
+    for n in range(3):
+        index = SpanIndex.open(spark, folder)
+        assert {r.id for r in index.add(spark.createDataFrame([(10 + n, "GG" + texts[n])], "id long, seq string")).collect()} == {n, 10 + n}
+        index.compact()
+        index.close()
+    index = SpanIndex.open(spark, folder)
+    assert len(index.runs) < 4 and len(index.places) == 4
+    index.close(delete=True)
+
+
+def test_history_is_merged_without_sorting(spark):
+    index, rnd = SpanIndex(spark, 32, 4), random.Random(7)
+    for n in range(3):
+        index.add(spark.createDataFrame([(10 * n + i, "".join(rnd.choice("ACGT") for _ in range(2000))) for i in range(9)], "id long, seq string"))
+    names = [name for _, name in index.runs]
+    with _runs_are_sorted(spark):
+        merged = index._merged(names[2], names[:2])
+        assert merged.filter(F.col("old_lo").isNotNull()).count() >= 0
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Sort [" not in plan and "Exchange" not in plan
+    index.close(delete=True)
