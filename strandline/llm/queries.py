@@ -95,7 +95,7 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The group of each read and its hits' least and mean distance in mapped_reads."""
+    """The group of each read and the least distance of its hits in mapped_reads."""
     groups = alike_groups(table(spark, d, "read_records"), "read_id", "seq", _likeness(spark, d))
     hamming = table(spark, d, "mapped_reads").filter("hamming >= 0").groupBy("read_id").agg(F.min("hamming").alias("hamming"))
     return groups.join(hamming, F.col("id") == F.col("read_id"), "left").select(F.col("id").alias("read_id"), F.col("group").alias("group_id"), "n_links", "hamming")
