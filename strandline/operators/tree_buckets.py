@@ -1,7 +1,7 @@
 """Per-key results when a few keys hold most rows (problem 4): a multi-level tree of partial states.
 
 A key's state is (number of different values, its first values). Rows are first made distinct over key and value
-together, which spreads any key evenly. A key of at most ``chunk_rows`` values is one chunk; a larger one is divided by a
+together, which spreads any key evenly, and kept; all else reads these. A key of at most ``chunk_rows`` values is one chunk; a larger one is divided by a
 hash of the value into chunks of about that size. Every chunk is combined on its own, then up to ``fan_in`` states
 of neighbouring chunks are merged a round, until one is left: no task receives all rows, nor all partial states, of a key.
 """
@@ -13,9 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 16_384
-FAN_IN = 8
+from ..shared import cut
 
+CHUNK_ROWS = 4_096
+FAN_IN = 8
 
 
 def tree_buckets(rows: DataFrame, keys: list[str], value: str, limit: str, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
@@ -27,10 +28,10 @@ def tree_buckets(rows: DataFrame, keys: list[str], value: str, limit: str, chunk
     """
     by = [f"_k{i}" for i in range(len(keys))]
     named = rows.select(*(F.col(f"`{k}`").alias(b) for k, b in zip(keys, by)), F.col(f"`{value}`").alias("val"), F.greatest(F.coalesce(F.col(f"`{limit}`"), F.lit(0)), F.lit(0)).cast("int").alias("keep"))
-    different = named.groupBy(*by, "val").agg(F.max("keep").alias("keep"))
-    sizes = named.groupBy(*by).agg(F.count("val").alias("n"))  # combined before the shuffle: a row a key and task
+    different = cut(named.groupBy(*by, "val").agg(F.max("keep").alias("keep")), "different")
+    sizes = different.groupBy(*by).agg(F.count("val").alias("n"))  # combined before the shuffle: a row a key and task
     # only keys of more than one chunk; at most rows / chunk_rows of them
-    large = sizes.filter(F.col("n") > chunk_rows).select(*(F.col(b).alias(f"{b}_r") for b in by), F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
+    large = cut(sizes.filter(F.col("n") > chunk_rows).select(*(F.col(b).alias(f"{b}_r") for b in by), F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks")), "large-keys")
     same = None
     for b in by:
         same = F.col(b).eqNullSafe(F.col(f"{b}_r")) if same is None else same & F.col(b).eqNullSafe(F.col(f"{b}_r"))
