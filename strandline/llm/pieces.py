@@ -30,8 +30,9 @@ def _chunk_pattern() -> Column:
 
     def alternatives(anchor: str, least: str, most: str) -> str:
         half = f"greatest({least}, int({most} / 2))"
+        # looking for gaps at every place is dear, and vain in a text that has none
         return ", ".join([
-            f"'{anchor}{any_}{{', {least}, ',', {most}, '}}(?:', {whole}, '|', {cut}, ')'",
+            f"'{anchor}{any_}{{', {least}, ',', {most}, '}}(?:', {whole}, IF(_seq RLIKE concat('{GAP}{{', _gap, '}}'), concat('|', {cut}), ''), ')'",
             f"'|{anchor}{any_}{{', {half}, ',', {most}, '}}(?<={GAP})'",
             f"'|{anchor}{any_}{{', {most}, '}}'",
         ])
@@ -64,8 +65,13 @@ def split_pieces(records: DataFrame, seq: str, limit: str | int, overlap: str |
     run = f"concat('{GAP}{{', _gap, '}}')"
     cut = f"CASE WHEN p.last THEN 'end' WHEN right(concat(p.before, p.c), {seen}) RLIKE {run} OR p.after RLIKE {run} THEN 'natural' ELSE 'forced' END"
     pieces = F.expr(f"transform({framed}, p -> named_struct('piece', concat(IF(_overlap > 0, right(p.before, _overlap), ''), p.c), 'cut', {cut}))")
-    ends = "aggregate(slice(_lengths, 1, i), 0L, (a, x) -> a + x)"
-    offsets = F.expr(f"transform(_lengths, (n, i) -> greatest(0L, {ends} - _overlap))")
+    # running sums over blocks of 256 chunks, so that their work doesn't grow as the square of the chunks
+    total = lambda x: f"aggregate({x}, 0L, (a, y) -> a + y)"
+    sums = f"transform(sequence(0, (size(_lengths) - 1) div 256), b -> {total('slice(_lengths, 256 * b + 1, 256)')})"
+    before = f"transform(array({sums}), s -> transform(s, (x, b) -> {total('slice(s, 1, b)')}))[0]"
+    # an array of one struct, so that what the lambda below uses is made once and not for each chunk
+    offsets = F.expr(f"""transform(array(named_struct('l', _lengths, 'before', {before})),
+        z -> transform(z.l, (n, i) -> greatest(0L, z.before[i div 256] + {total('slice(z.l, 256 * (i div 256) + 1, i % 256)')} - _overlap)))[0]""")
     placed = cutup.select("record", F.size("_chunks").alias("n_pieces"), offsets.alias("_at"), pieces.alias("_pieces"))
     return placed.select("record", "n_pieces", F.posexplode(F.arrays_zip("_at", "_pieces")).alias("piece_no", "_p")).select("record", "piece_no", "n_pieces", F.col("_p._at").alias("piece_start"), F.col("_p._pieces.piece").alias("piece"), F.col("_p._pieces.cut").alias("cut"))
 

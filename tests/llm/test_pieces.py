@@ -62,3 +62,12 @@ def test_genome_rows_count_once(spark, rows):
     o = spark.createDataFrame([(1, 3, 5, 2)], "profile_id int, kmerlength int, window_size int, min_gap int")
     got = [(r.record.chrom_id, r.piece) for r in genome_pieces(g, o).collect()]
     assert sorted(p for c, p in got if c == 1) == sorted(["ACGTA", "TACGT", "GTACG", "CGT"]) and [p for c, p in got if c != 1] == [None, None]
+
+
+def test_offsets_of_very_many_pieces(spark):
+    """More pieces than a block of running sums holds, several times over."""
+    s = "".join("ACGT"[i * i % 7 % 4] for i in range(200_000))
+    got = grouped(split_pieces(spark.createDataFrame([(0, s), (1, s[:700])], "id int, seq string"), "seq", 40, 15, 3))
+    for text, pieces in ((s, got[0]), (s[:700], got[1])):
+        assert all(text[p.piece_start : p.piece_start + len(p.piece)] == p.piece for p in pieces) and pieces[-1].piece_start + len(pieces[-1].piece) == len(text)
+        assert [p.piece_start for p in pieces[1:]] == [25 * (i + 1) for i in range(len(pieces) - 1)]
