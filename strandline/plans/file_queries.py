@@ -144,11 +144,10 @@ def filter_p10_score(spark, d):
     return spread(pairs).select("read_id", local_align("oriented", "target", score_filter=180, distance_filter=150).alias("a")).select("read_id", "a.score", "a.cigar")
 
 
-@query("WITH b AS (SELECT DISTINCT h, bucket_key, read_id FROM read_signatures WHERE bucket_key IS NOT NULL), f AS (SELECT h, bucket_key, min(read_id) AS first FROM b GROUP BY ALL) SELECT h, bucket_key, count(*) AS n_others FROM b JOIN f USING (h, bucket_key) WHERE read_id <> first GROUP BY ALL")
+@query(f"WITH {R._B} SELECT profile_id, h, key, count(*) - 1 AS n_others FROM b GROUP BY ALL HAVING count(*) > 1")
 def filter_p12_others(spark, d):
     """The members of each bucket beside its first, which is left out as the one that asks."""
-    b = table(spark, d, "read_signatures").filter("bucket_key IS NOT NULL").select("h", "bucket_key", "read_id").distinct()
-    return b.groupBy("h", "bucket_key").agg((F.count("*") - 1).alias("n_others")).filter("n_others > 0")
+    return R._buckets(spark, d).groupBy(*R._PROFILE).agg((F.count("*") - 1).alias("n_others")).filter("n_others > 0")
 
 
 # joins, aggregates, order

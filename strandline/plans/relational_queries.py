@@ -236,77 +236,80 @@ def a3_bottom_sketch(spark, d):
     return bottom_sketch(reads(spark, d), ["read_id"], "seq", 16, 8).select("read_id", F.array_join(F.transform("sketch", lambda x: x.cast("string")), ",").alias("sketch"))
 
 
-_B = "b AS (SELECT DISTINCT profile_id, h, bucket_key AS key, read_id FROM read_signatures WHERE bucket_key IS NOT NULL AND profile_id = 1)"
+#: the buckets of all profiles, with the limit of each
+_B = "b AS (SELECT DISTINCT profile_id, h, bucket_key AS key, read_id FROM read_signatures WHERE bucket_key IS NOT NULL), lim AS (SELECT profile_id, max(max_results_per_map) AS most FROM run_options GROUP BY 1)"
+_PROFILE = ("profile_id", "h", "key")
 
 
 def _buckets(spark, d) -> DataFrame:
-    return table(spark, d, "read_signatures").filter("bucket_key IS NOT NULL AND profile_id = 1").select("h", F.col("bucket_key").alias("key"), "read_id").distinct()
+    return table(spark, d, "read_signatures").filter("bucket_key IS NOT NULL").select("profile_id", "h", F.col("bucket_key").alias("key"), "read_id").distinct()
+
 
+def _capped(spark, d, mode: str) -> DataFrame:
+    limits = table(spark, d, "run_options").groupBy("profile_id").agg(F.max("max_results_per_map").alias("most"))
+    # a profile without options has no limit
+    limited = _buckets(spark, d).join(limits, "profile_id", "left").withColumn("most", F.coalesce("most", F.lit(2**31 - 1)))
+    return capped(limited, F.col("most"), mode, _PROFILE).select(*_PROFILE, "read_id")
 
-@query(f"WITH {_B} SELECT h, key, read_id FROM (SELECT *, row_number() OVER (PARTITION BY h, key ORDER BY read_id) AS n FROM b) WHERE n <= 60")
+
+@query(f"WITH {_B} SELECT profile_id, h, key, read_id FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, h, key ORDER BY read_id) AS n FROM b) LEFT JOIN lim USING (profile_id) WHERE most IS NULL OR n <= most")
 def j8_truncated_buckets(spark, d):
-    return capped(_buckets(spark, d), 60).select("h", "key", "read_id")
+    return _capped(spark, d, "truncate")
 
 
-@query(f"WITH {_B} SELECT h, key, read_id FROM (SELECT *, count(*) OVER (PARTITION BY h, key) AS n FROM b) WHERE n <= 60")
+@query(f"WITH {_B} SELECT profile_id, h, key, read_id FROM (SELECT *, count(*) OVER (PARTITION BY profile_id, h, key) AS n FROM b) LEFT JOIN lim USING (profile_id) WHERE most IS NULL OR n <= most")
 def j8_dropped_buckets(spark, d):
-    return capped(_buckets(spark, d), 60, "drop").select("h", "key", "read_id")
+    return _capped(spark, d, "drop")
 
 
-@query(f"WITH {_B} SELECT h, key, read_id FROM b ANTI JOIN (SELECT h, key FROM b GROUP BY ALL HAVING count(*) < 2) USING (h, key)")
+@query(f"WITH {_B} SELECT * FROM b SEMI JOIN (SELECT profile_id, h, key FROM b GROUP BY ALL HAVING count(*) >= 2) USING (profile_id, h, key)")
 def j4_shared_buckets(spark, d):
     """Two passes: counts a bucket, then the entries of those with at least two."""
     b = _buckets(spark, d)
-    return b.join(b.groupBy("h", "key").agg(F.count("*").alias("n")).filter("n >= 2").select("h", "key"), ["h", "key"], "left_semi").select("h", "key", "read_id")
+    return b.join(b.groupBy(*_PROFILE).agg(F.count("*").alias("n")).filter("n >= 2").select(*_PROFILE), [*_PROFILE], "left_semi").select(*_PROFILE, "read_id")
 
 
-@query(f"WITH {_B}, {_R} SELECT b.h, b.key, b.read_id, length(seq) AS len FROM b JOIN r USING (read_id)")
+@query(f"WITH {_B}, {_R} SELECT b.*, length(seq) AS len FROM b JOIN r USING (read_id)")
 def j9_gather(spark, d):
-    return _buckets(spark, d).join(reads(spark, d).select("read_id", F.length("seq").cast("long").alias("len")), "read_id").select("h", "key", "read_id", "len")
-
-
-#: the buckets of all profiles, with the limit of each
-_BA = "b AS (SELECT DISTINCT profile_id, h, bucket_key AS key, read_id FROM read_signatures WHERE bucket_key IS NOT NULL), lim AS (SELECT profile_id, max(max_results_per_map) AS most FROM run_options GROUP BY 1)"
-_PROFILE = ("profile_id", "h", "key")
+    return _buckets(spark, d).join(reads(spark, d).select("read_id", F.length("seq").cast("long").alias("len")), "read_id").select(*_PROFILE, "read_id", "len")
 
 
-def _all_buckets(spark, d) -> DataFrame:
-    return table(spark, d, "read_signatures").filter("bucket_key IS NOT NULL").select("profile_id", "h", F.col("bucket_key").alias("key"), "read_id").distinct()
-
-
-def _all_capped(spark, d, mode: str) -> DataFrame:
-    limits = table(spark, d, "run_options").groupBy("profile_id").agg(F.max("max_results_per_map").alias("most"))
-    # a profile without options has no limit
-    limited = _all_buckets(spark, d).join(limits, "profile_id", "left").withColumn("most", F.coalesce("most", F.lit(2**31 - 1)))
-    return capped(limited, F.col("most"), mode, _PROFILE).select(*_PROFILE, "read_id")
+@query(f"WITH {_B} SELECT a.profile_id, a.read_id FROM (SELECT DISTINCT profile_id, read_id FROM b WHERE h = 0) a SEMI JOIN (SELECT DISTINCT profile_id, read_id // 2 AS pair FROM b WHERE h = 1) c ON a.profile_id = c.profile_id AND a.read_id // 2 = c.pair")
+def j15_mates(spark, d):
+    """Reads of one hash function's buckets whose pair (id div 2) is in another's."""
+    b = _buckets(spark, d).withColumn("pair", F.expr("read_id div 2"))
+    one = b.filter("h = 0").select("profile_id", "pair", "read_id").distinct()
+    return one.join(b.filter("h = 1").select("profile_id", "pair").distinct(), ["profile_id", "pair"], "left_semi").select("profile_id", "read_id")
 
 
-@query(f"WITH {_BA} SELECT profile_id, h, key, read_id FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, h, key ORDER BY read_id) AS n FROM b) LEFT JOIN lim USING (profile_id) WHERE most IS NULL OR n <= most")
+@query(SQL["j8_truncated_buckets"])
 def j8_all_truncated_buckets(spark, d):
-    return _all_capped(spark, d, "truncate")
+    """The same under its earlier name."""
+    return j8_truncated_buckets(spark, d)
 
 
-@query(f"WITH {_BA} SELECT profile_id, h, key, read_id FROM (SELECT *, count(*) OVER (PARTITION BY profile_id, h, key) AS n FROM b) LEFT JOIN lim USING (profile_id) WHERE most IS NULL OR n <= most")
+@query(SQL["j8_dropped_buckets"])
 def j8_all_dropped_buckets(spark, d):
-    return _all_capped(spark, d, "drop")
+    """The same under its earlier name."""
+    return j8_dropped_buckets(spark, d)
 
 
-@query(f"WITH {_BA} SELECT * FROM b SEMI JOIN (SELECT profile_id, h, key FROM b GROUP BY ALL HAVING count(*) >= 2) USING (profile_id, h, key)")
+@query(SQL["j4_shared_buckets"])
 def j4_all_shared_buckets(spark, d):
-    b = _all_buckets(spark, d)
-    return b.join(b.groupBy(*_PROFILE).agg(F.count("*").alias("n")).filter("n >= 2").select(*_PROFILE), [*_PROFILE], "left_semi").select(*_PROFILE, "read_id")
+    """The same under its earlier name."""
+    return j4_shared_buckets(spark, d)
 
 
-@query(f"WITH {_BA}, {_R} SELECT b.*, length(seq) AS len FROM b JOIN r USING (read_id)")
+@query(SQL["j9_gather"])
 def j9_all_gather(spark, d):
-    return _all_buckets(spark, d).join(reads(spark, d).select("read_id", F.length("seq").cast("long").alias("len")), "read_id").select(*_PROFILE, "read_id", "len")
+    """The same under its earlier name."""
+    return j9_gather(spark, d)
 
 
-@query(f"WITH {_BA} SELECT a.profile_id, a.read_id FROM (SELECT DISTINCT profile_id, read_id FROM b WHERE h = 0) a SEMI JOIN (SELECT DISTINCT profile_id, read_id // 2 AS pair FROM b WHERE h = 1) c ON a.profile_id = c.profile_id AND a.read_id // 2 = c.pair")
+@query(SQL["j15_mates"])
 def j15_all_mates(spark, d):
-    b = _all_buckets(spark, d).withColumn("pair", F.expr("read_id div 2"))
-    one = b.filter("h = 0").select("profile_id", "pair", "read_id").distinct()
-    return one.join(b.filter("h = 1").select("profile_id", "pair").distinct(), ["profile_id", "pair"], "left_semi").select("profile_id", "read_id")
+    """The same under its earlier name."""
+    return j15_mates(spark, d)
 
 
 @query(f"WITH {_H} SELECT read_id, chrom_id, pos, substr(whole, pos + 1, 128) AS seq FROM h")
@@ -314,25 +317,16 @@ def j10_window_texts(spark, d):
     return stretched(spark, d, hits(spark, d).select("read_id", "chrom_id", "pos"), F.col("pos"), 128, "seq")
 
 
-@query(f"WITH {_B} SELECT a.read_id FROM (SELECT DISTINCT read_id FROM b WHERE h = 0) a SEMI JOIN (SELECT DISTINCT read_id // 2 AS pair FROM b WHERE h = 1) c ON a.read_id // 2 = c.pair")
-def j15_mates(spark, d):
-    """Reads of one range whose pair (id div 2) is met in another."""
-    b = _buckets(spark, d)
-    one = b.filter("h = 0").select("read_id").distinct().withColumn("pair", F.expr("read_id div 2"))
-    return one.join(b.filter("h = 1").select(F.expr("read_id div 2").alias("pair")).distinct(), "pair", "left_semi").select("read_id")
-
-
-@query("WITH b AS (SELECT DISTINCT read_id, h, bucket_key FROM read_signatures WHERE bucket_key IS NOT NULL), p AS (SELECT a.read_id AS x, a.h, a.bucket_key FROM b a JOIN b c ON a.h = c.h AND a.bucket_key = c.bucket_key AND c.read_id = a.read_id + 1) SELECT x AS read_id, count(*) AS n FROM p GROUP BY 1")
+@query(f"WITH {_B}, p AS (SELECT a.read_id FROM b a JOIN b c ON a.profile_id = c.profile_id AND a.h = c.h AND a.key = c.key AND c.read_id = a.read_id + 1) SELECT read_id, count(*) AS n FROM p GROUP BY 1")
 def a6_common_buckets(spark, d):
     """How many buckets each read shares with the next one."""
-    b = table(spark, d, "read_signatures").filter("bucket_key IS NOT NULL").select("read_id", "h", "bucket_key").distinct()
-    return b.join(b.withColumn("read_id", F.col("read_id") - 1), ["read_id", "h", "bucket_key"]).groupBy("read_id").agg(F.count("*").alias("n"))
+    b = _buckets(spark, d)
+    return b.join(b.withColumn("read_id", F.col("read_id") - 1), ["read_id", *_PROFILE]).groupBy("read_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH b AS (SELECT DISTINCT h, bucket_key, read_id FROM read_signatures WHERE bucket_key IS NOT NULL) SELECT h, n, count(*) AS n_buckets FROM (SELECT h, bucket_key, count(*) AS n FROM b GROUP BY ALL) GROUP BY ALL")
+@query(f"WITH {_B} SELECT profile_id, h, n, count(*) AS n_buckets FROM (SELECT profile_id, h, key, count(*) AS n FROM b GROUP BY ALL) GROUP BY ALL")
 def a5_bucket_sizes(spark, d):
-    b = table(spark, d, "read_signatures").filter("bucket_key IS NOT NULL").select("h", "bucket_key", "read_id").distinct()
-    return b.groupBy("h", "bucket_key").agg(F.count("*").alias("n")).groupBy("h", "n").agg(F.count("*").alias("n_buckets"))
+    return _buckets(spark, d).groupBy(*_PROFILE).agg(F.count("*").alias("n")).groupBy("profile_id", "h", "n").agg(F.count("*").alias("n_buckets"))
 
 
 _D = """fwd AS (SELECT read_id, chrom_id, pos, min(hamming(substr(ext, CAST(s AS INT) + 1, length(seq)), seq) * 10000 + s) AS f, min(hamming(substr(ext, CAST(s AS INT) + 1, length(seq)), reverse(translate(seq, 'ACGT', 'TGCA'))) * 10000 + s) AS b, any_value(length(seq)) AS n
@@ -358,29 +352,26 @@ def l13_shifted_hamming(spark, d):
     return shifted_hamming(_pairs(spark, d), 0.1)
 
 
-@query(f"""WITH {_C}, ce AS (SELECT *, CAST(len // 2 AS INT) AS ext FROM (SELECT c.read_id, c.chrom_id, c.pos, r.seq, length(r.seq) AS len, g.seq AS whole, length(g.seq) AS n FROM cand c JOIN (SELECT read_id, regexp_replace(seq, '[^ACGT]', '', 'g') = seq AS clean, seq FROM r) r USING (read_id) JOIN g USING (chrom_id) WHERE clean)),
+#: reads as F3 cleans them, in place of _R
+_RC = f"r AS ({SCALAR_SQL['f3_clean_reads'].replace(' AS clean,', ' AS seq,')})"
+
+
+@query(f"""WITH {_C.replace(_R, _RC, 1)}, ce AS (SELECT *, CAST(len // 2 AS INT) AS ext FROM (SELECT c.read_id, c.chrom_id, c.pos, r.seq, length(r.seq) AS len, g.seq AS whole, length(g.seq) AS n FROM cand c JOIN r USING (read_id) JOIN g USING (chrom_id))),
     cx AS (SELECT *, CASE WHEN ext < pos THEN ext ELSE 0 END AS l, CASE WHEN pos + 128 > n THEN 0 WHEN pos + 128 + ext < n THEN ext ELSE n - pos - 128 END AS r FROM ce),
     p AS (SELECT read_id, chrom_id, pos, seq, substr(whole, CAST(pos - l AS INT) + 1, CAST(least(128, n - pos) + l + r AS INT)) AS ext FROM cx), {_D},
     ranked AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY hamming, chrom_id, pos) AS k FROM sh WHERE hamming <= floor(n::FLOAT * 0.05::FLOAT))
     SELECT read_id, CAST(hamming AS INT) AS hamming, chrom_id, pos, CAST(orientation AS TINYINT) AS orientation, CAST(shift AS INT) AS shift FROM ranked WHERE k = 1""")
 def a8_best_hits(spark, d):
-    """The mapping plan from reads of bases only and the genome to one hit a read."""
-    r = table(spark, d, "read_records").select("read_id", "file_id", "read_id_in_file", F.upper("seq").alias("seq")).filter(F.col("seq").isNotNull() & ~S.is_ambiguous("seq")).distinct()
+    """The mapping plan from all reads, letters beside bases replaced (F3), and the genome to one hit a read."""
+    r = table(spark, d, "read_records").select("read_id", "file_id", "read_id_in_file", F.upper("seq").alias("seq")).filter(F.col("seq").isNotNull()).distinct()
     found = mapper.mapped(r, table(spark, d, "genome"), Options(num_hash_functions=4, min_table_hits=2))
     return found.select("read_id", "hamming", "chrom_id", "pos", "orientation", "shift")
 
 
-#: reads as F3 cleans them, in place of _R
-_RC = f"r AS ({SCALAR_SQL['f3_clean_reads'].replace(' AS clean,', ' AS seq,')})"
-_WHOLE = SQL["a8_best_hits"].replace(_R, _RC, 1).replace(" WHERE clean)", ")")
-
-
-@query(_WHOLE)
+@query(SQL["a8_best_hits"])
 def a8_all_best_hits(spark, d):
-    """The mapping plan from all reads, letters beside bases replaced (F3), to one hit a read."""
-    r = table(spark, d, "read_records").select("read_id", "file_id", "read_id_in_file", F.upper("seq").alias("seq")).filter(F.col("seq").isNotNull()).distinct()
-    found = mapper.mapped(r, table(spark, d, "genome"), Options(num_hash_functions=4, min_table_hits=2))
-    return found.select("read_id", "hamming", "chrom_id", "pos", "orientation", "shift")
+    """The same under its earlier name."""
+    return a8_best_hits(spark, d)
 
 
 @query("SELECT file_id, min(length(seq)) AS shortest, max(length(seq)) AS longest, CAST(sum(length(seq)) AS BIGINT) AS total, bool_and(length(seq) >= 20) AS all_long, bool_or(qual IS NULL) AS any_bare FROM (SELECT DISTINCT * FROM read_records) GROUP BY 1")
@@ -542,17 +533,14 @@ def stream_hits_per_hour(spark, d):
 
 @query(SQL["a8_best_hits"])
 def stream_best_hits(spark, d):
-    """Reads as a stream, mapped batch by batch, the best hit over all batches."""
-    stream = stream_table(spark, f"{d}/read_records.parquet").select("read_id", "file_id", "read_id_in_file", F.upper("seq").alias("seq")).filter(F.col("seq").isNotNull() & ~S.is_ambiguous("seq"))
+    """All reads as a stream, mapped batch by batch, the best hit over all batches; F3 counts within a batch."""
+    stream = stream_table(spark, f"{d}/read_records.parquet").select("read_id", "file_id", "read_id_in_file", F.upper("seq").alias("seq")).filter(F.col("seq").isNotNull())
     path = scratch(spark, "mapped")
     map_stream(stream, table(spark, d, "genome"), path, scratch(spark, "log"), Options(num_hash_functions=4, min_table_hits=2)).awaitTermination()
     return merged_hits(spark, path).select("read_id", "hamming", "chrom_id", "pos", "orientation", "shift")
 
 
-@query(SQL["a8_all_best_hits"])
+@query(SQL["a8_best_hits"])
 def stream_all_best_hits(spark, d):
-    """All reads as a stream, mapped batch by batch, the best hit over all batches; F3 counts within a batch."""
-    stream = stream_table(spark, f"{d}/read_records.parquet").select("read_id", "file_id", "read_id_in_file", F.upper("seq").alias("seq")).filter(F.col("seq").isNotNull())
-    path = scratch(spark, "mapped")
-    map_stream(stream, table(spark, d, "genome"), path, scratch(spark, "log"), Options(num_hash_functions=4, min_table_hits=2)).awaitTermination()
-    return merged_hits(spark, path).select("read_id", "hamming", "chrom_id", "pos", "orientation", "shift")
+    """The same under its earlier name."""
+    return stream_best_hits(spark, d)

@@ -70,15 +70,9 @@ def f7_reverse_complement(spark, d):
 _CODE = "CAST(list_sum(list_transform(string_split({0}, ''), lambda c, i: CASE c WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END * CAST(4 ^ (len({0}) - i) AS BIGINT))) AS BIGINT)"
 
 
-@query(f"WITH {_R}, s AS (SELECT read_id, seq[:31] AS s FROM r) SELECT read_id, {_CODE.format('s')} AS code, regexp_replace(s, '[^ACGT]', 'A', 'g') AS decoded FROM s")
-def f9_encode_2bit(spark, d):
-    code = reads(spark, d).select("read_id", F.left("seq", F.lit(31)).alias("s")).withColumn("code", S.encode_2bit("s"))
-    return code.select("read_id", "code", S.decode_2bit("code", F.length("s")).alias("decoded"))
-
-
 @query(f"""WITH {_R}, w AS (SELECT read_id, i, seq[31 * i + 1:31 * i + 31] AS s FROM (SELECT *, unnest(range((length(seq) + 30) // 31)) AS i FROM r)), k AS (SELECT read_id, list({_CODE.format('s')} ORDER BY i) AS codes FROM w GROUP BY 1)
     SELECT read_id, CASE WHEN seq = '' THEN '' ELSE array_to_string(codes, ',') END AS codes, regexp_replace(seq, '[^ACGT]', 'A', 'g') AS decoded FROM r LEFT JOIN k USING (read_id)""")
-def f9_encode_words(spark, d):
+def f9_encode_2bit(spark, d):
     """Whole reads as words of up to 31 letters, and back."""
     n = F.length("seq")
     at = F.when(n > 0, F.sequence(F.lit(0), F.expr("(length(seq) - 1) div 31").cast("int"))).when(n == 0, F.array().cast("array<int>"))
@@ -88,6 +82,12 @@ def f9_encode_words(spark, d):
     return coded.select("read_id", F.array_join("w.code", ",").alias("codes"), F.array_join(F.transform("w", lambda x: S.decode_2bit(x["code"], x["n"])), "").alias("decoded"))
 
 
+@query(SQL["f9_encode_2bit"])
+def f9_encode_words(spark, d):
+    """The same under its earlier name."""
+    return f9_encode_2bit(spark, d)
+
+
 @query(f"WITH {_R}, c AS (SELECT read_id, regexp_replace(seq, '[^ACGT]', 'A', 'g') AS s FROM r) SELECT read_id, translate(s, 'ACGT', '0011') AS hi, translate(s, 'ACGT', '0101') AS lo, s AS decoded FROM c")
 def f10_bit_planes(spark, d):
     planes = reads(spark, d).select("read_id", S.encode_planes("seq").alias("p"))
@@ -256,14 +256,15 @@ def w7_sections(spark, d):
     return m.join(g, "c").withColumn("s", S.clip_section(F.col("window_pos") - 100, F.col("window_pos") + 400, "len")).select("read_id", "window_pos", "chrom_id", F.col("s.begin").alias("lo"), F.col("s.end").alias("hi"))
 
 
-_SETS = """s AS (SELECT DISTINCT chrom_id, seq FROM g), h AS (SELECT chrom_id, list_transform(regexp_extract_all(seq[:400], '[ACGT]{3}'), lambda x: x) AS a, list_transform(regexp_extract_all(seq[201:600], '[ACGT]{3}'), lambda x: x) AS b,
-    regexp_extract_all(seq[401:800], '[ACGT]{3}') AS c FROM s)"""
+#: the sets of the whole record: its two halves, and the half in the middle
+_SETS = """s AS (SELECT DISTINCT chrom_id, seq, CAST((length(seq) + 1) // 2 AS INT) AS m FROM g), h AS (SELECT chrom_id, regexp_extract_all(seq[:m], '[ACGT]{3}') AS a, regexp_extract_all(seq[m + 1:], '[ACGT]{3}') AS b,
+    regexp_extract_all(seq[m // 2 + 1:m // 2 + m], '[ACGT]{3}') AS c FROM s)"""
 
 
 def _sets(spark, d):
     three = lambda x: F.regexp_extract_all(x, F.lit("([ACGT]{3})"), F.lit(1))
-    seq = F.col("seq")
-    return genome(spark, d).select("chrom_id", three(F.left(seq, F.lit(400))).alias("a"), three(F.substring(seq, F.lit(201), F.lit(400))).alias("b"), three(F.substring(seq, F.lit(401), F.lit(400))).alias("c"))
+    g = genome(spark, d).withColumn("m", F.expr("(length(seq) + 1) div 2").cast("int"))
+    return g.select("chrom_id", three(F.expr("left(seq, m)")).alias("a"), three(F.expr("substring(seq, m + 1)")).alias("b"), three(F.expr("substring(seq, m div 2 + 1, m)")).alias("c"))
 
 
 def _join(x):
@@ -292,30 +293,19 @@ def o5_counted_sets(spark, d):
     return _sets(spark, d).select("chrom_id", _join(A.frequent([a, b], 6)).alias("frequent"), _join(A.frequent([a, b], 6, 12)).alias("few"), _join(A.repeated(a, 4)).alias("repeated"), _join(A.first_n(A.union(a), 10)).alias("first_ten"))
 
 
-#: the sets of the whole record: its two halves, and the half in the middle
-_WHOLE_SETS = """s AS (SELECT DISTINCT chrom_id, seq, CAST((length(seq) + 1) // 2 AS INT) AS m FROM g), h AS (SELECT chrom_id, regexp_extract_all(seq[:m], '[ACGT]{3}') AS a, regexp_extract_all(seq[m + 1:], '[ACGT]{3}') AS b,
-    regexp_extract_all(seq[m // 2 + 1:m // 2 + m], '[ACGT]{3}') AS c FROM s)"""
-
-
-def _whole_sets(spark, d):
-    three = lambda x: F.regexp_extract_all(x, F.lit("([ACGT]{3})"), F.lit(1))
-    g = genome(spark, d).withColumn("m", F.expr("(length(seq) + 1) div 2").cast("int"))
-    return g.select("chrom_id", three(F.expr("left(seq, m)")).alias("a"), three(F.expr("substring(seq, m + 1)")).alias("b"), three(F.expr("substring(seq, m div 2 + 1, m)")).alias("c"))
-
-
-@query(SQL["o1_set_operations"].replace(_SETS, _WHOLE_SETS))
+@query(SQL["o1_set_operations"])
 def o1_all_set_operations(spark, d):
-    a, b = F.col("a"), F.col("b")
-    return _whole_sets(spark, d).select("chrom_id", _join(A.difference(a, b)).alias("difference"), _join(A.intersection(a, b)).alias("intersection"), _join(A.symmetric_difference(a, b)).alias("symmetric"), _join(A.union(a, b)).alias("both"), _join(A.merged(a, b)).alias("merged"))
+    """The same under its earlier name."""
+    return o1_set_operations(spark, d)
 
 
-@query(SQL["o2_many_sets"].replace(_SETS, _WHOLE_SETS))
+@query(SQL["o2_many_sets"])
 def o2_all_many_sets(spark, d):
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    return _whole_sets(spark, d).select("chrom_id", _join(A.union(a, b, c)).alias("all_"), _join(A.intersection(a, b, c)).alias("common"), _join(A.merged(a, b, c)).alias("merged"))
+    """The same under its earlier name."""
+    return o2_many_sets(spark, d)
 
 
-@query(SQL["o5_counted_sets"].replace(_SETS, _WHOLE_SETS))
+@query(SQL["o5_counted_sets"])
 def o5_all_counted_sets(spark, d):
-    a, b = F.col("a"), F.col("b")
-    return _whole_sets(spark, d).select("chrom_id", _join(A.frequent([a, b], 6)).alias("frequent"), _join(A.frequent([a, b], 6, 12)).alias("few"), _join(A.repeated(a, 4)).alias("repeated"), _join(A.first_n(A.union(a), 10)).alias("first_ten"))
+    """The same under its earlier name."""
+    return o5_counted_sets(spark, d)
