@@ -231,7 +231,7 @@ def local_align(query: Column | str, ref: Column | str, **settings) -> Column:
     """Struct of the best local alignment: score, score2 (best elsewhere), begins and ends (0-based, inclusive), mismatches, CIGAR with S, =, X, I, D.
 
     A gap's first base costs ``open_``, each further one ``extend``. Ties: first reference end, then least query end, then nearest begins. score2 is the best of the
-    columns more than ``mask`` (default: half the query, at least 15) from the end. A score of 0 has begins and ends -1, no CIGAR and flag 1. The CIGAR is given from
+    columns more than ``mask`` (default: half the query, at least 15) from the end. A score of 0 has begins and ends -1, no CIGAR and flag 1; there is no flag 2, as paths are never cut by a band. The CIGAR is given from
     ``score_filter`` on and for reference spans up to ``distance_filter``. scores: other letters and their matrix.
     """
     return local_align_udf(**settings)(query, ref)

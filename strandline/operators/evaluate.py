@@ -9,10 +9,14 @@ from ..functions.sequence import hamming_full, reverse_complement, window_with_o
 from .windows import with_stretch
 
 
+def primary(sam: DataFrame) -> DataFrame:
+    """Rows (flag) that are neither secondary nor supplementary."""
+    return sam.filter(F.col("flag").bitwiseAND(0x900) == 0)
+
+
 def truth_windows(sam: DataFrame, genome: DataFrame, w: int, k: int, overlap: int) -> DataFrame:
     """``read_id, chrom_id, window_id`` of primary alignments (read_id, flag, chrom_id, pos, read_len): the first window with enough of the read."""
-    primary = sam.filter(F.col("flag").bitwiseAND(0x900) == 0)
-    return primary.join(genome.select("chrom_id", F.col("len").alias("_len")), "chrom_id").select("read_id", "chrom_id", window_with_overlap("pos", "read_len", "_len", w, k, overlap).alias("window_id"))
+    return primary(sam).join(genome.select("chrom_id", F.col("len").alias("_len")), "chrom_id").select("read_id", "chrom_id", window_with_overlap("pos", "read_len", "_len", w, k, overlap).alias("window_id"))
 
 
 def window_hits(hits: DataFrame, truth: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators.minhash import kmer_lists, minhash
 from ..operators.variants import is_variant, variant_counts
 from ..shared import scratch, spread, table
 from ..sources import tables as X
-from ..sources.fastx import read_fastx, sniff, write_fastx
+from ..sources.fastx import broken_records, paired, read_fastx, sniff, write_fastx
 from . import relational_queries as R
 from .registry import Registry
 from .scalar_queries import _G, _R, genome, reads
@@ -106,6 +106,72 @@ def s4_sniffed_files(spark, d):
     return out
 
 
+@query(f"WITH {_R}, b AS (SELECT *, length(qual) = length(seq) AND length(seq) > 3 AS fq, read_id_in_file % 40 = 39 AS bad FROM r WHERE length(seq) > 0 AND header IS NOT NULL), n AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY read_id_in_file, read_id) - 1 AS i, fq AND bad AS broken FROM b) SELECT file_id, min(i) AS read_id_in_file, CAST(-2 AS INT) AS code FROM n WHERE broken GROUP BY 1")
+def s5_broken_records(spark, d):
+    """Each file of reads written as a file with some qualities cut short, and the record at which a reader stops."""
+    path = scratch(spark, "broken")
+    r = reads(spark, d).filter((F.length("seq") > 0) & F.col("header").isNotNull())
+    fq = F.coalesce((F.length("qual") == F.length("seq")) & (F.length("seq") > 3), F.lit(False))
+    qual = F.when(fq & (F.col("read_id_in_file") % 40 == 39), F.expr("left(qual, length(qual) - 2)")).when(fq, F.col("qual"))
+    text = F.concat(F.when(fq, F.lit("@")).otherwise(F.lit(">")), F.lit("r"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq"), F.when(fq, F.concat(F.lit("\n+\n"), qual)).otherwise(""))
+    r.select("file_id", "read_id_in_file", "read_id", text.alias("value")).repartition("file_id").sortWithinPartitions("file_id", "read_id_in_file", "read_id").select("value", "file_id").write.partitionBy("file_id").text(path)
+    files = ",".join(f"{path}/{f}" for f in sorted(r.select(F.concat(F.lit("file_id="), "file_id")).distinct().toPandas().iloc[:, 0]))  # a name for each file
+    return broken_records(spark, files).select(F.regexp_extract("path", r"file_id=(\d+)", 1).cast("int").alias("file_id"), "read_id_in_file", "code")
+
+
+@query(f"WITH {_R}, n AS (SELECT file_id, max(read_id_in_file) + 1 AS n FROM r GROUP BY 1) SELECT file_id, read_id_in_file // 2 AS pair_id, CAST(read_id_in_file % 2 + 1 AS INT) AS mate, read_id FROM r JOIN n USING (file_id) WHERE read_id_in_file < n - n % 2")
+def s7_one_file_pairs(spark, d):
+    return paired(reads(spark, d)).select("file_id", "pair_id", "mate", "read_id")
+
+
+@query("WITH m AS (SELECT DISTINCT file_id, run, bam FROM run_metadata WHERE bam IS NOT NULL) SELECT run, bam, concat(run, '_', regexp_replace(bam, '\\.bam$', '')) AS file, count(*) AS n FROM m GROUP BY ALL")
+def s15_metadata_file(spark, d):
+    """The metadata as a file, read by the operator."""
+    path = scratch(spark, "metadata")
+    table(spark, d, "run_metadata").filter("bam IS NOT NULL").select("file_id", "run", "bam").distinct().select("run", "bam").write.csv(path, sep="\t")
+    return X.read_metadata(spark, path).groupBy("run", "bam", "file").agg(F.count("*").alias("n"))
+
+
+#: hits without gaps, as alignments of their whole text; the second score and the lack of a hit by a rule
+_K9 = f"""{R._H}, k AS (SELECT *, substr(whole, pos + 1, CAST(least(n, len - pos) AS INT)) AS t, CASE WHEN read_id % 11 = 0 THEN 0 ELSE 2 * n - CAST(hamming AS BIGINT) END AS score, CASE WHEN read_id % 3 = 0 THEN 0 ELSE n // 2 END AS score2 FROM h WHERE n > 0 AND pos + n <= len)"""
+
+
+def _aligned(spark, d):
+    h = R.hits(spark, d).filter("n > 0 AND pos + n <= len")
+    h = R.stretched(spark, d, h, F.col("pos"), F.col("n"), "ref")
+    scored = h.withColumn("score", F.when(F.col("read_id") % 11 == 0, 0).otherwise(2 * F.col("n") - F.col("hamming"))).withColumn("score2", F.when(F.col("read_id") % 3 == 0, 0).otherwise(F.expr("n div 2")))
+    return scored.withColumn("reverse", F.col("orientation") == 2).withColumn("cigar", F.concat(F.col("n").cast("string"), F.lit("M")))
+
+
+@query(f"""WITH {_K9} SELECT CASE WHEN score = 0 THEN concat(read_id, chr(9), array_to_string(['4', '*', '0', '255', '*', '*', '0', '0', '*', '*'], chr(9)))
+    ELSE concat_ws(chr(9), read_id, CASE WHEN orientation = 2 THEN 16 ELSE 0 END, chrom, pos + 1, 60, concat(n, 'M'), '*', '0', '0', oriented, CASE WHEN length(qual) > 0 THEN CASE WHEN orientation = 2 THEN reverse(qual) ELSE qual END ELSE '*' END, concat('AS:i:', score), concat('NM:i:', hamming)) || CASE WHEN score2 > 0 THEN concat(chr(9), 'ZS:i:', score2) ELSE '' END END AS value FROM k""")
+def k9_sam_lines(spark, d):
+    """Local alignments with AS, NM and ZS tags (K9)."""
+    rows = _aligned(spark, d).select("read_id", "reverse", "chrom", F.col("pos").alias("ref_begin"), F.lit(60).alias("mapq"), "cigar", F.col("read").alias("seq"), "qual", "score", "score2", F.col("hamming").alias("mismatches"))
+    return X.aligner_sam_lines(rows)
+
+
+@query(f"""WITH {_K9}, x AS (SELECT *, array_to_string(list_transform(range(n), lambda i: CASE WHEN t[CAST(i AS INT) + 1] = oriented[CAST(i AS INT) + 1] THEN '|' ELSE '*' END), '') AS signs FROM k)
+    SELECT read_id, concat('target_name: ', chrom, chr(10), 'query_name: ', read_id, chr(10), 'optimal_alignment_score: ', score, chr(9), CASE WHEN score2 > 0 THEN concat('suboptimal_alignment_score: ', score2, chr(9)) ELSE '' END, 'strand: ', CASE WHEN orientation = 2 THEN '-' ELSE '+' END,
+        chr(9), 'target_begin: 1', chr(9), 'target_end: ', n, chr(9), 'query_begin: 1', chr(9), 'query_end: ', n, chr(10), chr(10),
+        array_to_string(list_transform(range((n + 59) // 60), lambda i: concat('Target: ', lpad(CAST(i * 60 + 1 AS VARCHAR), 8, ' '), '    ', substr(t, CAST(i * 60 + 1 AS INT), 60), '    ', least(n, i * 60 + 60), chr(10), repeat(' ', 20), substr(signs, CAST(i * 60 + 1 AS INT), 60), chr(10),
+            'Query:  ', lpad(CAST(i * 60 + 1 AS VARCHAR), 8, ' '), '    ', substr(oriented, CAST(i * 60 + 1 AS INT), 60), '    ', least(n, i * 60 + 60), chr(10), chr(10))), '')) AS value FROM x""")
+def k9_alignment_text(spark, d):
+    """Alignments as readable text, in blocks of 60 letters (K9)."""
+    rows = _aligned(spark, d).select(
+        "read_id", "reverse", "chrom", "score", "score2", F.lit(0).alias("ref_begin"), (F.col("n") - 1).alias("ref_end"), F.lit(0).alias("query_begin"), (F.col("n") - 1).alias("query_end"), "cigar", F.col("oriented").alias("query"), "ref"
+    )
+    return X.alignment_text(rows)
+
+
+@query("SELECT read_id, flag FROM (SELECT DISTINCT read_id, CASE WHEN read_id % 5 = 0 THEN 256 WHEN read_id % 7 = 0 THEN 2064 WHEN orientation = 2 THEN 16 ELSE 0 END AS flag FROM mapped_reads WHERE window_pos >= 0 AND orientation IN (1, 2)) WHERE flag < 256")
+def filter_p9_primary(spark, d):
+    """Primary alignments of SAM rows with secondary and supplementary flags among them."""
+    m = table(spark, d, "mapped_reads").filter("window_pos >= 0 AND orientation IN (1, 2)")
+    flag = F.when(F.col("read_id") % 5 == 0, 256).when(F.col("read_id") % 7 == 0, 2064).when(F.col("orientation") == 2, 16).otherwise(0)
+    return E.primary(m.select("read_id", flag.alias("flag")).distinct())
+
+
 # filters
 
 

@@ -27,6 +27,10 @@ class BrokenRecord(ValueError):
     """A FASTQ record without qualities, or with another number of them than bases."""
 
 
+#: what a report calls the ways a file can break: qualities cut short, and bytes that are no text or no whole gzip stream
+BROKEN_QUALITIES, BROKEN_STREAM = -2, -3
+
+
 def _located(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI (file, hdfs, s3, ...) and the path there."""
     return fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri(f"file://{path[5:]}") if path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -93,7 +97,7 @@ class _File(InputPartition):
 
 
 class FastxReader(DataSourceReader):
-    """mode: FAILFAST (default), or STOP: a broken record ends its file, with the records before it kept."""
+    """mode: FAILFAST (default), or STOP: a broken record ends its file, with the records before it kept (``broken_records`` reports it)."""
 
     def __init__(self, options: dict):
         self.paths = files_of(options.get("path", ""))
@@ -107,11 +111,40 @@ class FastxReader(DataSourceReader):
         try:
             for n, (header, seq, qual) in enumerate(records(path)):
                 yield file_id, n, header, seq, qual, path
-        except BrokenRecord:
+        except (BrokenRecord, OSError, EOFError, UnicodeDecodeError):
             if self.mode != "STOP":
                 raise
 
 
+class _BrokenReader(FastxReader):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        file_id, path = partition.value
+        n = -1
+        try:
+            for n, _ in enumerate(records(path)):
+                pass
+        except (BrokenRecord, OSError, EOFError, UnicodeDecodeError) as e:
+            yield file_id, path, n + 1, BROKEN_QUALITIES if isinstance(e, BrokenRecord) else BROKEN_STREAM, str(e)
+
+
+class BrokenSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "fastx-broken"
+
+    def schema(self) -> str:
+        return "file_id int, path string, read_id_in_file long, code int, message string"
+
+    def reader(self, schema) -> FastxReader:
+        return _BrokenReader(dict(self.options))
+
+
+def broken_records(spark: SparkSession, path: str) -> DataFrame:
+    """``file_id, path, read_id_in_file, code, message`` of the record at which each file breaks, where a reader in mode STOP ends; whole files have no row."""
+    spark.dataSource.register(BrokenSource)
+    return spark.read.format("fastx-broken").load(path)
+
+
 class FastxSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -154,6 +187,16 @@ def interleave(first: DataFrame, second: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(F.struct((F.col("read_id_in_file") * 2).alias("read_id"), "a.*"), F.struct((F.col("read_id_in_file") * 2 + 1).alias("read_id"), "b.*"))).alias("r")).select("r.*")
 
 
+def paired(reads: DataFrame) -> DataFrame:
+    """The pairs of files that hold both mates in turn: ``file_id, pair_id, mate`` (1 or 2) beside the other columns.
+
+    A last record without a mate is left out, as at the end of the shorter of two files.
+    """
+    sized = reads.groupBy("file_id").agg((F.max("read_id_in_file") + 1).alias("_n"))
+    placed = reads.join(sized, "file_id").filter(F.col("read_id_in_file") < F.col("_n") - F.col("_n") % 2).drop("_n")
+    return placed.withColumn("pair_id", F.expr("read_id_in_file div 2")).withColumn("mate", (F.col("read_id_in_file") % 2 + 1).cast("int"))
+
+
 def file_stats(reads: DataFrame) -> DataFrame:
     """Reads of each file, and their least and greatest length."""
     return reads.groupBy("file_id").agg(F.count("*").alias("n_reads"), F.min(F.length("seq")).alias("min_length"), F.max(F.length("seq")).alias("max_length"))

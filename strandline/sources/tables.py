@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequence import parse_cigar, reverse_complement
 from ..operators.prefix import prefix_sums
 
 SAM_SCHEMA = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext string, tlen string, seq string, qual string"
@@ -33,22 +34,80 @@ def sam_header(genome: DataFrame) -> DataFrame:
     return ends.unionByName(squares)
 
 
-def sam_lines(alignments: DataFrame) -> DataFrame:
-    """K1, K2, K9: ``value``: one SAM line of each alignment (read_id, reverse BOOLEAN, chrom, pos 0-based, mapq, cigar, seq, qual, conversions, strand).
+def sam_lines(alignments: DataFrame, rnext: str = "*") -> DataFrame:
+    """K1, K2: ``value``: one SAM line of each alignment (read_id, reverse BOOLEAN, chrom, pos 0-based, mapq, cigar, seq, qual, conversions, strand).
 
-    A null chrom makes an unmapped line (flag 4, position 0, *). Tags: Yf the number of conversions, YZ the strand.
+    A null chrom makes an unmapped line (flag 4, position 0, *). rnext: of mapped lines (K2, from edit distances, has =). Tags: Yf the number of conversions, YZ the strand.
     """
     mapped = F.col("chrom").isNotNull()
     text = lambda x, none: F.coalesce(x.cast("string"), F.lit(none))
     columns = [
         text(F.col("read_id"), "*"), F.when(~mapped, "4").when(F.col("reverse"), "16").otherwise("0"), text(F.col("chrom"), "*"), F.when(mapped, (F.col("pos") + 1).cast("string")).otherwise("0"),
-        F.when(mapped, text(F.col("mapq"), "0")).otherwise("0"), F.when(mapped & (F.col("cigar") != ""), F.col("cigar")).otherwise("*"), F.lit("*"), F.lit("0"), F.lit("0"),
+        F.when(mapped, text(F.col("mapq"), "0")).otherwise("0"), F.when(mapped & (F.col("cigar") != ""), F.col("cigar")).otherwise("*"), F.when(mapped, rnext).otherwise("*"), F.lit("0"), F.lit("0"),
         F.when(F.col("seq") != "", F.col("seq")).otherwise("*"), F.when(F.col("qual") != "", F.col("qual")).otherwise("*"),
     ]
     tags = F.when(mapped, F.concat(F.lit("\tYf:i:"), text(F.col("conversions"), "0"), F.lit("\tYZ:A:"), text(F.col("strand"), "+"))).otherwise("")
     return alignments.select(F.concat(F.concat_ws("\t", *columns), tags).alias("value"))
 
 
+def aligner_sam_lines(alignments: DataFrame) -> DataFrame:
+    """K9: ``value``: one SAM line of each local alignment (read_id, reverse BOOLEAN, chrom, ref_begin 0-based, mapq, cigar, seq, qual, score, score2, mismatches).
+
+    seq and qual are as read: on the reverse strand they are turned. Tags: AS the score, NM the mismatches and, if there is any, ZS the second score. A score of 0 makes an unmapped line.
+    """
+    hit = F.coalesce(F.col("score") > 0, F.lit(False))
+    back = F.coalesce(F.col("reverse"), F.lit(False))
+    tags = F.concat(F.lit("\tAS:i:"), F.col("score").cast("string"), F.lit("\tNM:i:"), F.coalesce("mismatches", F.lit(0)).cast("string"), F.when(F.col("score2") > 0, F.concat(F.lit("\tZS:i:"), F.col("score2").cast("string"))).otherwise(""))
+    columns = [
+        F.when(back, "16").otherwise("0"), F.col("chrom"), (F.col("ref_begin") + 1).cast("string"), F.coalesce("mapq", F.lit(0)).cast("string"), F.when(F.col("cigar") != "", F.col("cigar")).otherwise("*"), F.lit("*"), F.lit("0"), F.lit("0"),
+        F.when(back, reverse_complement("seq")).otherwise(F.col("seq")), F.when(F.col("qual") != "", F.when(back, F.reverse("qual")).otherwise(F.col("qual"))).otherwise("*"),
+    ]
+    none = F.lit("\t4\t*\t0\t255\t*\t*\t0\t0\t*\t*")
+    return alignments.select(F.concat(F.coalesce(F.col("read_id").cast("string"), F.lit("*")), F.when(hit, F.concat(F.lit("\t"), F.concat_ws("\t", *columns), tags)).otherwise(none)).alias("value"))
+
+
+def alignment_text(alignments: DataFrame, width: int = 60) -> DataFrame:
+    """K9: ``value``: a readable text of each local alignment (read_id, reverse, chrom, score, score2, ref_begin, ref_end, query_begin, query_end, cigar, query, ref).
+
+    query: as it was aligned, ref: the whole target text; begins and ends 0-based and inclusive. The letters stand in blocks of ``width``: | for equal ones, * for others, - for gaps.
+    """
+    spent = lambda e, *ops: F.when(e["op"].isin(*ops), e["len"]).otherwise(0)
+    start = F.struct(F.col("query_begin").cast("int").alias("q"), F.col("ref_begin").cast("int").alias("t"), *(F.lit("").alias(c) for c in ("a", "s", "b", "ta", "qa")))
+
+    def step(x: Column, e: Column) -> Column:
+        q, t, gap = F.substring("query", x["q"] + 1, e["len"]), F.substring("ref", x["t"] + 1, e["len"]), F.repeat(F.lit("-"), e["len"])
+        signs = F.array_join(F.zip_with(F.split(q, ""), F.split(t, ""), lambda c, d: F.when(F.upper(c) == F.upper(d), "|").otherwise("*")), "")
+        op, empty = e["op"], F.lit("")
+        letters = lambda x, *ops: F.concat(x, F.when(op.isin("M", "=", "X", *ops), F.repeat(F.lit("x"), e["len"])).when(op.isin("I", "D", "N"), F.repeat(F.lit(" "), e["len"])).otherwise(empty))
+        return F.struct(
+            (x["q"] + spent(e, "M", "=", "X", "I")).alias("q"), (x["t"] + spent(e, "M", "=", "X", "D", "N")).alias("t"),
+            F.concat(x["a"], F.when(op.isin("M", "=", "X", "D", "N"), t).when(op == "I", gap).otherwise(empty)).alias("a"),
+            F.concat(x["s"], F.when(op.isin("M", "=", "X"), signs).when(op.isin("I", "D", "N"), F.repeat(F.lit(" "), e["len"])).otherwise(empty)).alias("s"),
+            F.concat(x["b"], F.when(op.isin("M", "=", "X", "I"), q).when(op.isin("D", "N"), gap).otherwise(empty)).alias("b"),
+            letters(x["ta"], "D", "N").alias("ta"), letters(x["qa"], "I").alias("qa"),
+        )
+
+    walked = F.aggregate(parse_cigar("cigar"), start, step)
+
+    def block(x: Column, i: Column) -> Column:
+        cut = lambda c: F.substring(x[c], i * width + 1, F.lit(width))
+        number = lambda c, n, begin: (F.col(begin) + F.length(F.replace(F.substring(x[c], F.lit(1), n), F.lit(" "), F.lit("")))).cast("string")
+        side = lambda name, c, mask, begin: F.concat(F.lit(name), F.lpad((number(mask, i * width, begin) + 1).cast("int").cast("string"), 8, " "), F.lit("    "), cut(c), F.lit("    "), number(mask, (i + 1) * width, begin))
+        return F.concat(side("Target: ", "a", "ta", "ref_begin"), F.lit("\n" + " " * 20), cut("s"), F.lit("\n"), side("Query:  ", "b", "qa", "query_begin"), F.lit("\n\n"))
+
+    shown = F.transform(F.array(walked), lambda x: F.when(F.length(x["a"]) > 0, F.array_join(F.transform(F.sequence(F.lit(0), ((F.length(x["a"]) - 1) / width).cast("int")), lambda i: block(x, i)), "")).otherwise(""))[0]
+    field = lambda name, c: F.concat(F.lit(f"{name}: "), c.cast("string"))
+    head = F.concat(
+        field("target_name", F.coalesce("chrom", F.lit("*"))), F.lit("\n"), field("query_name", F.coalesce(F.col("read_id").cast("string"), F.lit("*"))), F.lit("\n"),
+        F.concat_ws(
+            "\t", field("optimal_alignment_score", F.col("score")), F.when(F.col("score2") > 0, field("suboptimal_alignment_score", F.col("score2"))), field("strand", F.when(F.col("reverse"), "-").otherwise("+")),
+            F.when(F.col("ref_begin") >= 0, field("target_begin", F.col("ref_begin") + 1)), field("target_end", F.col("ref_end") + 1), F.when(F.col("query_begin") >= 0, field("query_begin", F.col("query_begin") + 1)), field("query_end", F.col("query_end") + 1),
+        ),
+        F.lit("\n\n"),
+    )
+    return alignments.select("read_id", F.concat(head, F.coalesce(shown, F.lit(""))).alias("value"))
+
+
 def write_sam(alignments: DataFrame, genome: DataFrame, path: str) -> None:
     """K1: a folder of text files; the header is a file of its own that sorts first."""
     sam_header(genome).orderBy("ord").select("value").coalesce(1).write.mode("append").text(f"{path}/part=0")
