@@ -4,10 +4,10 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-from strandline.plans import file_queries, problems, relational_queries, scalar_queries
+from strandline.plans import alignment_queries, file_queries, problems, relational_queries, scalar_queries
 
-QUERIES = {n: f for m in (problems, scalar_queries, relational_queries, file_queries) for n, f in m.QUERIES.items()}
-SQL = {n: s for m in (problems, scalar_queries, relational_queries, file_queries) for n, s in m.SQL.items()}
+QUERIES = {n: f for m in (problems, scalar_queries, relational_queries, file_queries, alignment_queries) for n, f in m.QUERIES.items()}
+SQL = {n: s for m in (problems, scalar_queries, relational_queries, file_queries, alignment_queries) for n, s in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")
