@@ -56,38 +56,61 @@ def _table(scores: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scores_of(table: np.ndarray):
+def _kind(table: np.ndarray, open_: int, extend: int, n: int, m: int) -> type:
+    """The narrowest type that holds every score of pairs of these lengths."""
+    inside = np.abs(table[table > LOW])
+    return np.int16 if int(inside.max(initial=1)) * min(n, m) + open_ + extend * (n + m) < -_LOW[np.int16] else np.int32
+
+
+#: less than any score, and far enough from the type's end to be added to
+_LOW = {np.int16: -15_000, np.int32: LOW}
+
+
+def _scores_of(table: np.ndarray, kind: type):
     """The scores of one query position of all pairs against all reference columns; a comparison instead of a lookup where only equality counts."""
     n = len(table) - 2
     match, other = int(table[0, 0]), int(table[0, 1]) if n > 1 else 0
     if n > 1 and (table[:n, :n] == np.where(np.eye(n, dtype=bool), match, other)).all() and table[n, n] == other:
         # letters that never match get codes that differ; what lies beyond an end only ever loses
-        return lambda q, r: np.where(r == np.where(q < n, q, -1), np.int32(match), np.int32(other))
-    narrow = table.astype(np.int32)
+        return lambda q, r: (r == np.where(q < n, q, q.dtype.type(-1))) * kind(match - other) + kind(other)
+    narrow = np.maximum(table, _LOW[kind]).astype(kind)
     return lambda q, r: narrow[q, r]
 
 
+def _running(x: np.ndarray, better: np.ufunc) -> np.ndarray:
+    """Running maximum or minimum along each row, in steps that double."""
+    step, y = 1, np.empty_like(x)
+    while step < x.shape[1]:
+        y[:, :step] = x[:, :step]
+        better(x[:, step:], x[:, :-step], out=y[:, step:])
+        x, y, step = y, x, 2 * step
+    return x
+
+
 def _rows(q: np.ndarray, r: np.ndarray, table: np.ndarray, open_: int, extend: int, local: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row by row: H, gaps along the query (F) and along the reference (E), each (pairs, columns + 1)."""
     pairs, m = r.shape
-    score = _scores_of(table)
-    column = np.arange(m + 1, dtype=np.int32)
-    slope, back = column * np.int32(extend), np.int32(open_) + (column[1:] - np.int32(1)) * np.int32(extend)
-    h = np.zeros((pairs, m + 1), dtype=np.int32)
+    kind = _kind(table, open_, extend, q.shape[1], m)
+    score, low = _scores_of(table, kind), _LOW[kind]
+    if len(table) < 120:
+        q, r = q.astype(np.int8), r.astype(np.int8)
+    column = np.arange(m + 1, dtype=kind)
+    slope, back = column * kind(extend), kind(open_) + (column[1:] - kind(1)) * kind(extend)
+    h = np.zeros((pairs, m + 1), dtype=kind)
     if not local:
         h[:, 1:] = -back
-    f = np.full_like(h, LOW)
+    f = np.full_like(h, low)
     for i in range(q.shape[1]):
-        f = np.maximum(h - np.int32(open_), f - np.int32(extend))
+        f = np.maximum(h - kind(open_), f - kind(extend))
         now = np.empty_like(h)
         np.add(h[:, :-1], score(q[:, i, None], r), out=now[:, 1:])
         now[:, 0] = 0 if local else -open_ - extend * i
-        f[:, 0] = LOW
+        f[:, 0] = low
         np.maximum(now, f, out=now)
         if local:
             np.maximum(now, 0, out=now)
-        e = np.full_like(h, LOW)
-        np.subtract(np.maximum.accumulate(now + slope, axis=1)[:, :-1], back, out=e[:, 1:])
+        e = np.full_like(h, low)
+        np.subtract(_running(now + slope, np.maximum)[:, :-1], back, out=e[:, 1:])
         h = np.maximum(now, e)
         yield h, f, e
 
@@ -95,12 +118,11 @@ def _rows(q: np.ndarray, r: np.ndarray, table: np.ndarray, open_: int, extend: i
 def _best(q: np.ndarray, r: np.ndarray, table: np.ndarray, open_: int, extend: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Best local score, its first reference end with its least query end, and the best score of each column."""
     pairs, m = r.shape
-    top, where = np.zeros((pairs, m + 1), dtype=np.int32), np.zeros((pairs, m + 1), dtype=np.int32)
+    top, where = np.zeros((pairs, m + 1), dtype=_kind(table, open_, extend, q.shape[1], m)), np.zeros((pairs, m + 1), dtype=np.int32)
     for i, (h, _, _) in enumerate(_rows(q, r, table, open_, extend, True)):
-        better = h > top
-        where[better] = i
+        np.copyto(where, np.int32(i), where=h > top)
         np.maximum(top, h, out=top)
-    score = top.max(axis=1)
+    score = top.max(axis=1).astype(np.int64)
     end = top.argmax(axis=1)
     return score, end - 1, where[np.arange(pairs), end], top[:, 1:]
 
@@ -117,9 +139,10 @@ def _paths(q: np.ndarray, r: np.ndarray, n: np.ndarray, m: np.ndarray, table: np
     """Operations (M, I, D) of the best whole alignment of each pair, all pairs traced back in step."""
     kept = [(x, y.copy(), z) for x, y, z in _rows(q, r, table, open_, extend, False)]
     pairs = len(q)
-    first = np.zeros((1, pairs, r.shape[1] + 1), np.int32)
+    kind = _kind(table, open_, extend, q.shape[1], r.shape[1])
+    first = np.zeros((1, pairs, r.shape[1] + 1), kind)
     first[0, :, 1:] = -open_ - extend * np.arange(r.shape[1])
-    low = np.full_like(first, LOW)
+    low = np.full_like(first, _LOW[kind])
     h, f, e = (np.concatenate([z, np.stack([row[x] for row in kept])]) if kept else z for x, z in ((0, first), (1, low), (2, low)))
     e[0] = first[0]
     i, j, p, state = n.copy(), m.copy(), np.arange(pairs), np.zeros(pairs, dtype=np.int64)
@@ -131,7 +154,7 @@ def _paths(q: np.ndarray, r: np.ndarray, n: np.ndarray, m: np.ndarray, table: np
         hij = h[i, p, j]
         s = table[q[p, np.maximum(i - 1, 0)], r[p, np.maximum(j - 1, 0)]]
         diagonal = (i > 0) & (j > 0) & (state == 0) & (h[np.maximum(i - 1, 0), p, np.maximum(j - 1, 0)] + s == hij)
-        fv, ev = np.where(i > 0, f[i, p, j], LOW), np.where(j > 0, e[i, p, j], LOW)
+        fv, ev = np.where(i > 0, f[i, p, j], _LOW[kind]), np.where(j > 0, e[i, p, j], _LOW[kind])
         ev = np.where(i == 0, hij, ev)
         fv = np.where((j == 0) & (i > 0), hij, fv)
         insert = active & ~diagonal & np.where(state == 0, (fv == hij) & ((ev != hij) | (fv > ev)), state == 1)
@@ -251,6 +274,9 @@ def _edit_block(queries: list[str], targets: list[str], mode: str, path: bool, k
             out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
         return out, length
 
+    def narrow(*codes: np.ndarray) -> list[np.ndarray]:
+        return [c.astype(np.int8) for c in codes] if all(c.max(initial=0) < 128 for c in codes) else list(codes)
+
     def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = x != y
         for a, b in equal:
@@ -258,16 +284,18 @@ def _edit_block(queries: list[str], targets: list[str], mode: str, path: bool, k
         return out
 
     def rows(q: np.ndarray, t: np.ndarray, free: bool) -> Iterator[np.ndarray]:
-        column = np.arange(t.shape[1] + 1, dtype=np.int32)
-        d = np.zeros((len(q), len(column)), dtype=np.int32) + (np.int32(0) if free else column)
+        kind = np.int16 if q.shape[1] + t.shape[1] < 15_000 else np.int32
+        column = np.arange(t.shape[1] + 1, dtype=kind)
+        d = np.zeros((len(q), len(column)), dtype=kind) + (kind(0) if free else column)
         yield d
         for i in range(q.shape[1]):
             now = d + 1
             now[:, 1:] = np.minimum(now[:, 1:], d[:, :-1] + differ(q[:, i, None], t))
-            d = np.minimum.accumulate(now - column, axis=1) + column
+            d = _running(now - column, np.minimum) + column
             yield d
 
     (q, n), (t, m) = coded(queries, -1), coded(targets, -2)
+    q, t = narrow(q, t)
     pairs, column = len(queries), np.arange(t.shape[1] + 1)
 
     def final(x: np.ndarray, length: np.ndarray, y: np.ndarray, free: bool) -> np.ndarray:
