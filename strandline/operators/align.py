@@ -78,39 +78,39 @@ def _scores_of(table: np.ndarray, kind: type):
 
 
 def _running(x: np.ndarray, better: np.ufunc) -> np.ndarray:
-    """Running maximum or minimum along each row, in steps that double."""
+    """Running maximum or minimum down the columns, in steps that double."""
     step, y = 1, np.empty_like(x)
-    while step < x.shape[1]:
-        y[:, :step] = x[:, :step]
-        better(x[:, step:], x[:, :-step], out=y[:, step:])
+    while step < len(x):
+        y[:step] = x[:step]
+        better(x[step:], x[:-step], out=y[step:])
         x, y, step = y, x, 2 * step
     return x
 
 
 def _rows(q: np.ndarray, r: np.ndarray, table: np.ndarray, open_: int, extend: int, local: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row by row: H, gaps along the query (F) and along the reference (E), each (pairs, columns + 1)."""
+    """Row by row: H, gaps along the query (F) and along the reference (E), each (columns + 1, pairs): what lies side by side in memory is alike work."""
     pairs, m = r.shape
     kind = _kind(table, open_, extend, q.shape[1], m)
     score, low = _scores_of(table, kind), _LOW[kind]
-    if len(table) < 120:
-        q, r = q.astype(np.int8), r.astype(np.int8)
-    column = np.arange(m + 1, dtype=kind)
+    q, r = (np.ascontiguousarray(x.T.astype(np.int8) if len(table) < 120 else x.T) for x in (q, r))
+    column = np.arange(m + 1, dtype=kind)[:, None]
     slope, back = column * kind(extend), kind(open_) + (column[1:] - kind(1)) * kind(extend)
-    h = np.zeros((pairs, m + 1), dtype=kind)
+    h = np.zeros((m + 1, pairs), dtype=kind)
     if not local:
-        h[:, 1:] = -back
+        h[1:] = -back
     f = np.full_like(h, low)
-    for i in range(q.shape[1]):
+    for i in range(len(q)):
         f = np.maximum(h - kind(open_), f - kind(extend))
         now = np.empty_like(h)
-        np.add(h[:, :-1], score(q[:, i, None], r), out=now[:, 1:])
-        now[:, 0] = 0 if local else -open_ - extend * i
-        f[:, 0] = low
+        np.add(h[:-1], score(q[i], r), out=now[1:])
+        now[0] = 0 if local else -open_ - extend * i
+        f[0] = low
         np.maximum(now, f, out=now)
         if local:
             np.maximum(now, 0, out=now)
-        e = np.full_like(h, low)
-        np.subtract(_running(now + slope, np.maximum)[:, :-1], back, out=e[:, 1:])
+        e = np.empty_like(h)
+        e[0] = low
+        np.subtract(_running(now + slope, np.maximum)[:-1], back, out=e[1:])
         h = np.maximum(now, e)
         yield h, f, e
 
@@ -118,13 +118,13 @@ def _rows(q: np.ndarray, r: np.ndarray, table: np.ndarray, open_: int, extend: i
 def _best(q: np.ndarray, r: np.ndarray, table: np.ndarray, open_: int, extend: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Best local score, its first reference end with its least query end, and the best score of each column."""
     pairs, m = r.shape
-    top, where = np.zeros((pairs, m + 1), dtype=_kind(table, open_, extend, q.shape[1], m)), np.zeros((pairs, m + 1), dtype=np.int32)
+    top, where = np.zeros((m + 1, pairs), dtype=_kind(table, open_, extend, q.shape[1], m)), np.zeros((m + 1, pairs), dtype=np.int32)
     for i, (h, _, _) in enumerate(_rows(q, r, table, open_, extend, True)):
         np.copyto(where, np.int32(i), where=h > top)
         np.maximum(top, h, out=top)
-    score = top.max(axis=1).astype(np.int64)
-    end = top.argmax(axis=1)
-    return score, end - 1, where[np.arange(pairs), end], top[:, 1:]
+    score = top.max(axis=0).astype(np.int64)
+    end = top.argmax(axis=0)
+    return score, end - 1, where[end, np.arange(pairs)], top[1:].T
 
 
 def _window(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, fill: int, back: bool = False) -> np.ndarray:
@@ -140,8 +140,8 @@ def _paths(q: np.ndarray, r: np.ndarray, n: np.ndarray, m: np.ndarray, table: np
     kept = [(x, y.copy(), z) for x, y, z in _rows(q, r, table, open_, extend, False)]
     pairs = len(q)
     kind = _kind(table, open_, extend, q.shape[1], r.shape[1])
-    first = np.zeros((1, pairs, r.shape[1] + 1), kind)
-    first[0, :, 1:] = -open_ - extend * np.arange(r.shape[1])
+    first = np.zeros((1, r.shape[1] + 1, pairs), kind)
+    first[0, 1:] = (-open_ - extend * np.arange(r.shape[1]))[:, None]
     low = np.full_like(first, _LOW[kind])
     h, f, e = (np.concatenate([z, np.stack([row[x] for row in kept])]) if kept else z for x, z in ((0, first), (1, low), (2, low)))
     e[0] = first[0]
@@ -151,10 +151,10 @@ def _paths(q: np.ndarray, r: np.ndarray, n: np.ndarray, m: np.ndarray, table: np
         active = (i > 0) | (j > 0)
         if not active.any():
             break
-        hij = h[i, p, j]
+        hij = h[i, j, p]
         s = table[q[p, np.maximum(i - 1, 0)], r[p, np.maximum(j - 1, 0)]]
-        diagonal = (i > 0) & (j > 0) & (state == 0) & (h[np.maximum(i - 1, 0), p, np.maximum(j - 1, 0)] + s == hij)
-        fv, ev = np.where(i > 0, f[i, p, j], _LOW[kind]), np.where(j > 0, e[i, p, j], _LOW[kind])
+        diagonal = (i > 0) & (j > 0) & (state == 0) & (h[np.maximum(i - 1, 0), np.maximum(j - 1, 0), p] + s == hij)
+        fv, ev = np.where(i > 0, f[i, j, p], _LOW[kind]), np.where(j > 0, e[i, j, p], _LOW[kind])
         ev = np.where(i == 0, hij, ev)
         fv = np.where((j == 0) & (i > 0), hij, fv)
         insert = active & ~diagonal & np.where(state == 0, (fv == hij) & ((ev != hij) | (fv > ev)), state == 1)
@@ -162,8 +162,8 @@ def _paths(q: np.ndarray, r: np.ndarray, n: np.ndarray, m: np.ndarray, table: np
         delete = active & ~diagonal & ~insert
         steps.append(np.where(~active, 0, np.where(diagonal, ord("M"), np.where(insert, ord("I"), ord("D")))).astype(np.uint8))
         up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
-        f_now, e_now = np.where(insert, np.where(j == 0, h[i, p, j], f[i, p, j]), 0), np.where(delete, np.where(i == 0, h[i, p, j], e[i, p, j]), 0)
-        opened = np.where(insert, f_now == h[up, p, j] - open_, e_now == h[i, p, left] - open_)
+        f_now, e_now = np.where(insert, np.where(j == 0, h[i, j, p], f[i, j, p]), 0), np.where(delete, np.where(i == 0, h[i, j, p], e[i, j, p]), 0)
+        opened = np.where(insert, f_now == h[up, j, p] - open_, e_now == h[i, left, p] - open_)
         state = np.where(diagonal | opened, 0, np.where(insert, 1, 2))
         i, j = np.where(diagonal | insert, up, i), np.where(diagonal | delete, left, j)
     lines = np.stack(steps, axis=1)[:, ::-1] if steps else np.zeros((pairs, 0), np.uint8)
@@ -171,26 +171,23 @@ def _paths(q: np.ndarray, r: np.ndarray, n: np.ndarray, m: np.ndarray, table: np
 
 
 def _runs(path: str) -> str:
-    out, at = [], 0
-    while at < len(path):
-        end = at
-        while end < len(path) and path[end] == path[at]:
-            end += 1
-        out.append(f"{end - at}{path[at]}")
-        at = end
-    return "".join(out)
+    """A path's runs of equal operations, as in a CIGAR."""
+    ops = np.frombuffer(path.encode("ascii"), dtype=np.uint8)
+    ends = np.append(np.flatnonzero(ops[1:] != ops[:-1]), len(ops) - 1) if len(ops) else np.zeros(0, np.int64)
+    return "".join(f"{n}{path[e]}" for n, e in zip(np.diff(ends, prepend=-1).tolist(), ends.tolist()))
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
 def _marked(path: str, query: str, ref: str) -> tuple[str, int]:
     """M as = or X; the number of mismatches, with the lengths of gaps."""
-    out, q, r = [], 0, 0
-    for op in path:
-        if op == "M":
-            out.append("=" if query[q] == ref[r] else "X")
-        else:
-            out.append(op)
-        q, r = q + (op != "D"), r + (op != "I")
-    return "".join(out), sum(x != "=" for x in out)
+    ops = np.frombuffer(path.encode("ascii"), dtype=np.uint8).copy()
+    both = ops == ord("M")
+    q, r = np.cumsum(ops != ord("D")) - 1, np.cumsum(ops != ord("I")) - 1
+    ops[both] = np.where(_letters(query)[q[both]] == _letters(ref)[r[both]], ord("="), ord("X"))
+    return ops.tobytes().decode("ascii"), int((ops != ord("=")).sum())
 
 
 def _local_block(queries: list[str], refs: list[str], letters: str, table: np.ndarray, open_: int, extend: int, mask: int | None, score_filter: int, distance_filter: int) -> list[tuple]:
@@ -285,12 +282,13 @@ def _edit_block(queries: list[str], targets: list[str], mode: str, path: bool, k
 
     def rows(q: np.ndarray, t: np.ndarray, free: bool) -> Iterator[np.ndarray]:
         kind = np.int16 if q.shape[1] + t.shape[1] < 15_000 else np.int32
-        column = np.arange(t.shape[1] + 1, dtype=kind)
-        d = np.zeros((len(q), len(column)), dtype=kind) + (kind(0) if free else column)
+        q, t = np.ascontiguousarray(q.T), np.ascontiguousarray(t.T)
+        column = np.arange(len(t) + 1, dtype=kind)[:, None]
+        d = np.zeros((len(column), t.shape[1]), dtype=kind) + (kind(0) if free else column)
         yield d
-        for i in range(q.shape[1]):
-            now = d + 1
-            now[:, 1:] = np.minimum(now[:, 1:], d[:, :-1] + differ(q[:, i, None], t))
+        for i in range(len(q)):
+            now = d + kind(1)
+            now[1:] = np.minimum(now[1:], d[:-1] + differ(q[i], t))
             d = _running(now - column, np.minimum) + column
             yield d
 
@@ -302,8 +300,8 @@ def _edit_block(queries: list[str], targets: list[str], mode: str, path: bool, k
         """Each pair's row of distances after its whole query."""
         out = np.zeros((len(x), y.shape[1] + 1), dtype=np.int32)
         for i, d in enumerate(rows(x, y, free)):
-            done = length == i
-            out[done] = d[done]
+            done = np.flatnonzero(length == i)
+            out[done] = d[:, done].T
         return out
 
     last = np.where(column <= m[:, None], final(q, n, t, mode == "HW"), 1 << 30)
@@ -347,11 +345,11 @@ def _edit_paths(q: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray, rows
     d = np.stack(list(rows(q, t, False)))
     i, j, p, steps = n.copy(), m.copy(), np.arange(len(n)), []
     while ((i > 0) | (j > 0)).any():
-        here, up, left = d[i, p, j], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
-        insert = (i > 0) & (d[up, p, j] + 1 == here)
-        delete = ~insert & (j > 0) & (d[i, p, left] + 1 == here)
+        here, up, left = d[i, j, p], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        insert = (i > 0) & (d[up, j, p] + 1 == here)
+        delete = ~insert & (j > 0) & (d[i, left, p] + 1 == here)
         both = ~insert & ~delete & (i > 0) & (j > 0)
-        steps.append(np.where(insert, ord("I"), np.where(delete, ord("D"), np.where(both, np.where(d[up, p, left] == here, ord("="), ord("X")), 0))).astype(np.uint8))
+        steps.append(np.where(insert, ord("I"), np.where(delete, ord("D"), np.where(both, np.where(d[up, left, p] == here, ord("="), ord("X")), 0))).astype(np.uint8))
         i, j = np.where(insert | both, up, i), np.where(delete | both, left, j)
     lines = np.stack(steps, axis=1)[:, ::-1] if steps else np.zeros((len(n), 0), np.uint8)
     return [bytes(x[x > 0]).decode() for x in lines]
