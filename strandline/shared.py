@@ -31,8 +31,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A new path inside the shared folder."""
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new path inside the shared folder; ``clear`` deletes it."""
+    path = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: scratch paths of each Spark application of this process
+_made: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all that this session has put into the shared folder, and say how many paths there were. Results that are still read from them must be written before."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,10 +1,11 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.options import Options
 from strandline.sources import tables as X
-from strandline.sources.fastx import global_ids, interleave, read_fastx, records, sniff, write_fastx
+from strandline.sources.fastx import broken_records, global_ids, interleave, paired, read_fastx, records, sniff, write_fastx
 
 MIXED = ">one  x\nacgt\nAC\n\n@two\nACGT\nAC\n+\nII\nIIII\n\n>three\n"
 
@@ -82,3 +83,33 @@ def test_options():
     assert o.kmerlength == 12 and rest == ["map"]
     with pytest.raises(ValueError):
         Options(kmerlength=40)
+
+
+def test_broken_files_are_reported(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("@a\nAC\n+\nII\n@b\nAC\n+\nI\n")
+    (tmp_path / "b.fa").write_text(">a\nAC\n")
+    (tmp_path / "c.fq.gz").write_bytes(gzip.compress(b"@c\nACG\n+\nIII\n" * 500)[:-20])
+    got = {r.path.rsplit("/", 1)[1]: (r.read_id_in_file, r.code) for r in broken_records(spark, str(tmp_path)).collect()}
+    assert got["a.fq"] == (1, -2) and got["c.fq.gz"][1] == -3 and set(got) == {"a.fq", "c.fq.gz"}
+    assert read_fastx(spark, str(tmp_path), "STOP").filter("path LIKE '%a.f%'").count() == 1
+
+
+def test_pairs_of_one_file(spark):
+    df = spark.createDataFrame([(0, i, f"r{i}") for i in range(5)] + [(1, 0, "x"), (1, 1, "y")], "file_id int, read_id_in_file long, header string")
+    got = {(r.file_id, r.pair_id, r.mate, r.header) for r in paired(df).collect()}
+    assert got == {(0, 0, 1, "r0"), (0, 0, 2, "r1"), (0, 1, 1, "r2"), (0, 1, 2, "r3"), (1, 0, 1, "x"), (1, 0, 2, "y")}
+
+
+def test_alignments_as_text_and_tagged_lines(spark):
+    rows = [(1, False, "c", 12, 5, 2, 9, 1, 9, "1S3=1X2D2I3=", "GACGTTTAAA", "xxACGCGGAAAyy", 9, None, 1), (2, True, "c", 0, 0, -1, -1, -1, -1, "", "ACGT", "AC", 0, "IIII", 0), (3, True, "c", 8, 0, 0, 3, 0, 3, "4=", "AACC", "GGTTT", 0, "ABCD", 0)]
+    names = "read_id long, reverse boolean, chrom string, score int, score2 int, ref_begin int, ref_end int, query_begin int, query_end int, cigar string, query string, ref string, mapq int, qual string, mismatches int"
+    df = spark.createDataFrame(rows, names)
+    text = {r.read_id: r.value for r in X.alignment_text(df).collect()}
+    assert text[1].split("\n") == [
+        "target_name: c", "query_name: 1", "optimal_alignment_score: 12\tsuboptimal_alignment_score: 5\tstrand: +\ttarget_begin: 3\ttarget_end: 10\tquery_begin: 2\tquery_end: 10", "",
+        "Target:        3    ACGCGG--AAA    11", " " * 20 + "|||*    |||", "Query:         2    ACGT--TTAAA    10", "", "",
+    ]
+    assert "target_begin" not in text[2] and "Target:" not in text[2]
+    lines = {r.value.split("\t")[0]: r.value for r in X.aligner_sam_lines(df.withColumn("seq", F.col("query"))).collect()}
+    assert lines["1"] == "1\t0\tc\t3\t9\t1S3=1X2D2I3=\t*\t0\t0\tGACGTTTAAA\t*\tAS:i:12\tNM:i:1\tZS:i:5"
+    assert lines["2"] == "2\t4\t*\t0\t255\t*\t*\t0\t0\t*\t*" and lines["3"] == "3\t16\tc\t1\t0\t4=\t*\t0\t0\tGGTT\tDCBA\tAS:i:8\tNM:i:0"

@@ -4,7 +4,7 @@ from strandline.functions.register import register_functions
 from strandline.operators.prefix import prefix_sums
 from strandline.options import Options
 from strandline.plans import mapper
-from strandline.shared import cut, small_rows
+from strandline.shared import clear, cut, scratch, shared_folder, small_rows
 from strandline.streaming.ingest import distinct_hits, hits_per_window, map_stream, merged_hits, run_to_files, run_to_table, stream_table
 
 
@@ -51,3 +51,12 @@ def test_shared_helpers(spark):
     df = spark.range(5)
     assert small_rows(df, 4) is None and len(small_rows(df, 5)) == 5
     assert sorted(r.id for r in cut(df, "test").collect()) == list(range(5))
+
+
+def test_scratch_is_cleared(spark):
+    rows, other = cut(spark.range(7), "cleared"), scratch(spark, "never-written")
+    assert rows.count() == 7 and other.startswith(shared_folder(spark))
+    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
+    assert clear(spark) >= 2 and clear(spark) == 0
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
