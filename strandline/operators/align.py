@@ -6,6 +6,7 @@ the reference are a running maximum, so no step looks at single cells.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -422,9 +423,41 @@ def rescored(alignment: Column, pairs: Column, match: int = 2, mismatch: int = 2
     back as well. Scores don't go below 0.
     """
     count = lambda q, r: F.size(F.filter(pairs, lambda x: (x["q"] == q) & (x["r"] == r)))
-    found = F.struct(count("T", "C").alias("conversions"), count("C", "T").alias("false"))
+    found = F.struct(count("T", "C").alias("conversions"), count("C", "T").alias("undone"))
     # one element, so that the counts are made once
-    return F.transform(F.array(found), lambda n: F.struct(*(F.greatest(F.lit(0), alignment[s] - (n["conversions"] + n["false"]) * (match + mismatch)).alias(s) for s in ("score", "score2")), n["conversions"].alias("conversions")))[0]
+    return F.transform(F.array(found), lambda n: _after(alignment, n, match, mismatch))[0]
+
+
+def _count_conversions(cigar: str, begin: int, query: str, ref: str) -> tuple[int, int]:
+    q, r, found, false = _letters(query), _letters(ref)[max(0, begin) :], 0, 0
+    for n, op in _OPERATION.findall(cigar):
+        n = int(n)
+        if op in "M=X":
+            a, b = q[:n], r[:n]
+            a, b = a[: len(b)], b[: len(a)]
+            found += int(((a == ord("T")) & (b == ord("C"))).sum())
+            false += int(((a == ord("C")) & (b == ord("T"))).sum())
+        q, r = q[n if op in "M=XIS" else 0 :], r[n if op in "M=XDN" else 0 :]
+    return found, false
+
+
+_OPERATION = re.compile(r"(\d+)([MIDNSHP=X])")
+
+
+def conversions(alignment: Column, query: Column, ref: Column) -> Column:
+    """Struct of the aligned columns of query T on reference C (conversions) and of C on T (undone), from the texts as they were before conversion; null for a null alignment."""
+
+    @F.pandas_udf("conversions int, undone int")
+    def count(cigar: pd.Series, begin: pd.Series, queries: pd.Series, refs: pd.Series) -> pd.DataFrame:
+        rows = [_count_conversions(c, int(b), q, r) if c is not None and q is not None and r is not None else (None, None) for c, b, q, r in zip(cigar, begin, queries, refs)]
+        return pd.DataFrame(rows, columns=["conversions", "undone"]).astype(object)
+
+    return count(alignment["cigar"], alignment["ref_begin"], query, ref)
+
+
+def _after(alignment: Column, found: Column, match: int, mismatch: int) -> Column:
+    """Struct (score, score2, conversions): matches that only conversion made are taken back, scores don't go below 0."""
+    return F.struct(*(F.greatest(F.lit(0), alignment[s] - (found["conversions"] + found["undone"]) * (match + mismatch)).alias(s) for s in ("score", "score2")), found["conversions"].alias("conversions"))
 
 
 def bisulfite_align(pairs: DataFrame, query: str, ref: str, **options) -> DataFrame:
@@ -435,8 +468,8 @@ def bisulfite_align(pairs: DataFrame, query: str, ref: str, **options) -> DataFr
     rc, converted = reverse_complement(query), three_letter(F.upper(ref))
     both = spread(pairs).withColumn("_rc", rc).withColumn("_q", three_letter(query)).withColumn("_rq", three_letter(rc)).withColumn("_ref", converted)
     both = both.withColumn("_f", local_align("_q", "_ref", **options)).withColumn("_r", local_align("_rq", "_ref", **options))
-    both = both.withColumn("_fp", aligned_pairs(F.col("_f"), F.col(query), F.upper(ref))).withColumn("_rp", aligned_pairs(F.col("_r"), F.col("_rc"), F.upper(ref)))
-    both = both.withColumn("_fs", rescored(F.col("_f"), F.col("_fp"))).withColumn("_rs", rescored(F.col("_r"), F.col("_rp")))
+    both = both.withColumn("_fp", conversions(F.col("_f"), F.col(query), F.upper(ref))).withColumn("_rp", conversions(F.col("_r"), F.col("_rc"), F.upper(ref)))
+    both = both.withColumn("_fs", _after(F.col("_f"), F.col("_fp"), 2, 2)).withColumn("_rs", _after(F.col("_r"), F.col("_rp"), 2, 2))
     plus = F.col("_fs.score") >= F.col("_rs.score")
     out = both.withColumn("strand", F.when(plus, "+").otherwise("-")).withColumn("alignment", F.when(plus, F.col("_f")).otherwise(F.col("_r"))).withColumn("_s", F.when(plus, F.col("_fs")).otherwise(F.col("_rs")))
     out = out.withColumn("score", F.col("_s.score")).withColumn("score2", F.col("_s.score2")).withColumn("conversions", F.col("_s.conversions")).withColumn("mapq", mapq("score", "score2"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import run_lengths
-from strandline.operators.align import _table, better_strand, bisulfite_align, dna_scores, edit_align, local_align, pretty, read_scores
+from strandline.operators.align import _after, _table, aligned_pairs, better_strand, bisulfite_align, conversions, dna_scores, edit_align, local_align, pretty, read_scores, rescored
 
 
 def plain_edit(q, t, mode):
@@ -156,3 +156,13 @@ def test_bisulfite_rescoring(spark):
     assert (rows[0].strand, rows[0].score, rows[0].conversions) == ("+", 2 * len(ref) - 4 * n, n)
     assert (rows[1].score, rows[1].conversions) == (2 * len(ref), 0) and 0 < rows[1].mapq <= 254
     assert rows[2].conversions == 0 and rows[2].score == max(0, 2 * len(ref) - 4 * t)
+
+
+def test_conversions_are_those_of_the_aligned_pairs(spark):
+    rows = [(0, "2S3=1X1I2D4M", "CTTCTCATTCAC", "GGCTCCAATCTCAGG", 1), (1, "", "ACT", "ACT", -1), (2, None, "A", "A", 0), (3, "5M2N3M", "TTTTTCCC", "CCCCC", 0), (4, "4M", "TCTC", "CTCT", 0), (5, "3M", None, "CCC", 0)]
+    df = spark.createDataFrame(rows, "id int, cigar string, query string, ref string, b int").withColumn("a", F.struct("cigar", F.col("b").alias("ref_begin"), F.lit(40).alias("score"), F.lit(3).alias("score2")))
+    pairs = aligned_pairs(F.col("a"), F.col("query"), F.col("ref"))
+    got = df.select("id", rescored(F.col("a"), pairs).alias("x"), _after(F.col("a"), conversions(F.col("a"), F.col("query"), F.col("ref")), 2, 2).alias("y")).collect()
+    for r in got:
+        assert r.id in (2, 5) and r.y.conversions is None or r.x == r.y, r
+    assert {r.id: r.y.conversions for r in got}[4] == 2
