@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.arrow import bounded, flat_bytes
 from ..functions.sequence import clean_reads, extend_window, reverse_complement
 from ..shared import spread
-from .minhash import candidates, minhash
+from .minhash import candidates, signature_rows
 from .windows import longest, windows, with_stretch
 
 FORWARD, REVERSED, NONE = 1, 2, 3
@@ -92,7 +92,7 @@ def map_reads(reads: DataFrame, genome: DataFrame, k: int = 16, w: int = 128, ha
     read's length on either side, and the read slides along it. pos is the window's position; the hit begins at ext_start + shift.
     """
     cleaned = clean_reads(reads.filter(F.col("seq").isNotNull())).select("read_id", F.col("clean").alias("seq"))
-    found = candidates(minhash(windows(genome, k, w), ["chrom_id", "pos"], "seq", k, hashes), minhash(cleaned, ["read_id"], "seq", k, hashes), most, min_hits, mode)
+    found = candidates(signature_rows(windows(genome, k, w), ["chrom_id", "pos"], "seq", k, hashes), signature_rows(cleaned, ["read_id"], "seq", k, hashes), most, min_hits, mode)
     sided = found.join(cleaned.withColumnRenamed("seq", "read_seq"), "read_id").join(genome.select("chrom_id", "len"), "chrom_id")
     placed = sided.withColumn("e", extend_window("pos", w, F.expr("length(read_seq) div 2").cast("int"), "len"))
     placed = placed.select("read_id", "chrom_id", "pos", F.col("e.start").alias("ext_start"), F.col("e.len").alias("ext_len"), F.length("read_seq").alias("read_len"), "read_seq").filter(F.col("read_len") <= F.col("ext_len"))

@@ -10,7 +10,7 @@ from ..operators import evaluate as E
 from ..functions.register import register_functions
 from ..operators.align import better_strand, bisulfite_align, edit_align, local_align, pretty
 from ..operators.hamming import shifted_hamming
-from ..operators.minhash import bottom_sketch, candidates, capped, kmer_lists, minhash
+from ..operators.minhash import bottom_sketch, candidates, capped, kmer_lists, minhash, signature_rows
 from ..operators.prefix import prefix_sums
 from ..operators.variants import call_variants, cigar_variants, concordance, concordance_summary, variant_counts
 from ..operators.windows import longest, windows, with_stretch
@@ -213,7 +213,7 @@ def a1_minhash(spark, d):
 
 
 def _window_signatures(spark, d) -> DataFrame:
-    return minhash(windows(genome(spark, d), 16, 128), ["chrom_id", "pos"], "seq", 16, 4)
+    return signature_rows(windows(genome(spark, d), 16, 128), ["chrom_id", "pos"], "seq", 16, 4)
 
 
 _C = f"{_R}, {_W}, x AS {_hash_sql('r', 'read_id')}, y AS {_hash_sql('w', 'chrom_id, pos')}, cand AS (SELECT chrom_id, pos, read_id, count(*) AS hits FROM x JOIN y USING (h, key) GROUP BY ALL HAVING count(*) >= 2)"
@@ -221,7 +221,7 @@ _C = f"{_R}, {_W}, x AS {_hash_sql('r', 'read_id')}, y AS {_hash_sql('w', 'chrom
 
 @query(f"WITH {_C} SELECT * FROM cand")
 def j1_candidates(spark, d):
-    return candidates(_window_signatures(spark, d), minhash(reads(spark, d), ["read_id"], "seq", 16, 4), min_hits=2)
+    return candidates(_window_signatures(spark, d), signature_rows(reads(spark, d), ["read_id"], "seq", 16, 4), min_hits=2)
 
 
 @query(f"WITH {_R}, k AS (SELECT DISTINCT read_id, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS k FROM (SELECT read_id, substr(seq, i, 16) AS k FROM (SELECT *, unnest(range(1, length(seq) - 14)) AS i FROM r WHERE length(seq) >= 16))) SELECT read_id, count(*) AS n, min(k) AS first, max(k) AS last FROM k GROUP BY 1")
