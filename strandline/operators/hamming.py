@@ -28,17 +28,37 @@ def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
-def _distances(window: np.ndarray, w_len: np.ndarray, read: np.ndarray, r_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least distance over all shifts with full overlap, and the first shift that has it; read: one padded row each."""
-    best, at = np.full(len(window), 1 << 20, dtype=np.int64), np.zeros(len(window), dtype=np.int64)
-    inside = np.arange(read.shape[1]) < r_len[:, None]
-    for shift in range(int((w_len - r_len).max(initial=-1)) + 1):
-        part = window[:, shift : shift + read.shape[1]]
-        width = part.shape[1]
-        d = ((part != read[:, :width]) & inside[:, :width]).sum(axis=1)
-        better = (d < best) & (shift + r_len <= w_len)
-        best, at = np.where(better, d, best), np.where(better, shift, at)
-    return best, at
+def _planes(codes: np.ndarray, bits: int, words: int) -> np.ndarray:
+    """Each bit of rows of codes, 64 letters a word: bit, word, row."""
+    out = np.zeros((bits, len(codes), 8 * words), dtype=np.uint8)
+    for i in range(bits):
+        packed = np.packbits(codes >> i & 1, axis=1, bitorder="little")
+        out[i, :, : packed.shape[1]] = packed
+    return np.ascontiguousarray(out.view("<u8").transpose(0, 2, 1))
+
+
+def _distances(window: np.ndarray, w_len: np.ndarray, reads: list[np.ndarray], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each of ``reads`` (codes of ``bits`` bits, all of one length) the least distance over all shifts with full overlap, and the first shift that has it."""
+    length = reads[0].shape[1]
+    words = -(-length // 64)
+    held, asked = _planes(window, bits, -(-window.shape[1] // 64) + words + 1), [_planes(x, bits, words) for x in reads]
+    inside = _planes(np.ones((1, length), dtype=np.uint8), 1, words)[0]
+    # distance and shift in one number
+    best = [np.full(len(window), 1 << 52, dtype=np.int64) for _ in reads]
+    fewest = int(w_len.min(initial=0))
+    for shift in range(int(w_len.max(initial=-1)) - length + 1):
+        at, low = divmod(shift, 64)
+        part = held[:, at : at + words]
+        if low:
+            part = (part >> np.uint64(low)) | (held[:, at + 1 : at + words + 1] << np.uint64(64 - low))
+        full = True if shift + length <= fewest else shift + length <= w_len
+        for least, own in zip(best, asked):
+            apart = part[0] ^ own[0]
+            for i in range(1, bits):
+                apart |= part[i] ^ own[i]
+            d = np.bitwise_count(apart & inside).sum(axis=0, dtype=np.int64)
+            np.minimum(least, d << 32 | shift, out=least, where=full)
+    return [(x >> 32, x & 0xFFFFFFFF) for x in best]
 
 
 def _shifted(ratio: float):
@@ -49,12 +69,16 @@ def _shifted(ratio: float):
             fwd, r_len = matrix(batch.column(names.index("read_seq")))
             back, _ = matrix(batch.column(names.index("read_rc")))
             n = batch.num_rows
+            # the bytes of the batch by number: few bits tell them apart
+            seen = sum(np.bincount(x.ravel(), minlength=256) for x in (window, fwd, back)) > 0
+            code = (np.cumsum(seen) - 1).astype(np.uint8)
+            bits = max(1, int(seen.sum() - 1).bit_length())
+            window, fwd, back = code[window], code[fwd], code[back]
             hd, shift, strand = np.full(n, 1 << 20, np.int64), np.zeros(n, np.int64), np.full(n, NONE, np.int64)
             for length in np.unique(r_len):  # reads of one length at a time: nothing is padded
                 rows = np.flatnonzero(r_len == length)
-                for part in np.array_split(rows, 1 + len(rows) * window.shape[1] // 4_000_000):
-                    a, at_a = _distances(window[part], w_len[part], fwd[part, :length], r_len[part])
-                    b, at_b = _distances(window[part], w_len[part], back[part, :length], r_len[part])
+                for part in np.array_split(rows, 1 + len(rows) * window.shape[1] // 1_000_000):
+                    (a, at_a), (b, at_b) = _distances(window[part], w_len[part], [fwd[part, :length], back[part, :length]], bits)
                     hd[part], shift[part] = np.minimum(a, b), np.where(b < a, at_b, at_a)
                     strand[part] = np.where(b < a, REVERSED, FORWARD)
             limit = np.floor(r_len.astype(np.float32) * np.float32(ratio)).astype(np.int64)

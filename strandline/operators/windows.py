@@ -76,7 +76,7 @@ def with_stretch(df: DataFrame, genome: DataFrame, start: Column | str, length:
     size = max(least_tile, 1 << max(0, most - 1).bit_length())
     start = F.col(start) if isinstance(start, str) else start
     asked = df.withColumn("_start", start.cast("int")).withColumn("_tile", F.expr(f"_start div {size}").cast("int"))
-    held = tiles(genome, size, size).select(F.col("chrom_id").alias("_c"), F.col("tile").alias("_t"), F.col("text").alias("_text"))
+    held = tiles(genome, size, min(size, 2 * max(most, 1))).select(F.col("chrom_id").alias("_c"), F.col("tile").alias("_t"), F.col("text").alias("_text"))
     joined = asked.join(held, (F.col("chrom_id") == F.col("_c")) & (F.col("_tile") == F.col("_t")), "left")
     count = F.lit(length) if isinstance(length, int) else length
     got = F.coalesce(F.substring("_text", F.col("_start") - F.col("_tile") * size + 1, count), F.lit(""))
