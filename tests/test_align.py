@@ -166,3 +166,42 @@ def test_conversions_are_those_of_the_aligned_pairs(spark):
     for r in got:
         assert r.id in (2, 5) and r.y.conversions is None or r.x == r.y, r
     assert {r.id: r.y.conversions for r in got}[4] == 2
+
+
+def test_bisulfite_is_the_better_of_two_whole_alignments(spark, pairs, monkeypatch):
+    """The same as both strands aligned and rescored, though a strand that can't be the better one isn't aligned."""
+    from strandline.functions.sequence import reverse_complement, three_letter
+    from strandline.operators import align as A
+
+    rnd = random.Random(12)
+    long = ["".join(rnd.choice("ACGT") for _ in range(200)) for _ in range(40)]
+    rows = [(i, q, r) for i, (q, r) in enumerate([*pairs, *((r[a : a + 90], r) for a, r in enumerate(long)), *((mutated(rnd, r[30:120]), r) for r in long), (None, "ACGT"), ("ACGT", None)])]
+    df = spark.createDataFrame(rows, "id int, q string, r string").withColumn("rc", reverse_complement("q"))
+    ref = three_letter(F.upper("r"))
+    both = df.withColumn("f", local_align(three_letter("q"), ref)).withColumn("b", local_align(three_letter("rc"), ref))
+    both = both.withColumn("fs", _after(F.col("f"), conversions(F.col("f"), F.col("q"), F.upper("r")), 2, 2)).withColumn("bs", _after(F.col("b"), conversions(F.col("b"), F.col("rc"), F.upper("r")), 2, 2))
+    want = both.select("id", F.when(F.col("fs.score") >= F.col("bs.score"), F.struct(F.lit("+").alias("strand"), F.col("fs").alias("after"), F.col("f").alias("a"))).otherwise(F.struct(F.lit("-").alias("strand"), F.col("bs").alias("after"), F.col("b").alias("a"))).alias("x")).collect()
+    got = {r.id: r for r in bisulfite_align(df.drop("rc"), "q", "r").collect()}
+    assert {r.x[0] for r in want} == {"+", "-"}
+    for r in want:
+        strand, after, alignment = r.x
+        assert got[r.id].strand == strand and got[r.id].alignment == alignment, r
+        assert (got[r.id].score, got[r.id].score2, got[r.id].conversions) == tuple(after), r
+
+    seen, whole = [], A._local_block
+    monkeypatch.setattr(A, "_local_block", lambda x, y, *rest: seen.extend(x) or whole(x, y, *rest))
+    q, r, turned = ([f(x, i) for i, x in enumerate(long)] for f in (lambda x, i: x[i : i + 90], lambda x, i: x, lambda x, i: x[i : i + 90][::-1].translate(str.maketrans("ACGT", "TGCA"))))
+    A._bisulfite_udf().func(*(A.pd.Series(x) for x in ([s.replace("C", "T") for s in q], [s.replace("C", "T") for s in turned], [s.replace("C", "T") for s in r], q, turned, r)))
+    assert len(seen) == len(long)
+
+
+def test_score2_does_not_depend_on_other_pairs_of_the_block():
+    """A shorter query's rows beyond its end count for nothing."""
+    from strandline.operators.align import _local_block
+
+    q = "ACGGTCATTGCACGT"
+    rows = [(q, q + q + "N" * 10), (q * 2, "T" * 40)]  # the second place ends just inside the mask
+    block = _local_block([q for q, _ in rows], [r for _, r in rows], "ACGT", _table(dna_scores()[1]), 3, 1, None, 0, 1 << 30)
+    for (q, r), a in zip(rows, block):
+        h = plain_local(q, r)
+        assert a[0] == h.max() and a[1] == max((h[:, j + 1].max() for j in range(len(r)) if abs(j - a[3]) > max(15, len(q) // 2)), default=0), q
