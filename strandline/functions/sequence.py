@@ -200,7 +200,11 @@ def clean_reads(reads, k_batch: int = 65_536):
     from pyspark.sql import Window
 
     batch = Window.partitionBy("file_id", F.expr(f"read_id_in_file div {k_batch}")).orderBy("read_id_in_file").rowsBetween(Window.unboundedPreceding, -1)
-    up = reads.withColumn("_u", F.upper("seq")).withColumn("_bad", F.length(F.regexp_replace("_u", "[ACGT]", ""))).withColumn("_before", F.coalesce(F.sum("_bad").over(batch), F.lit(0)))
+    up = reads.withColumn("_u", F.upper("seq"))
+    # a read of bases only counts nothing and stays where it is
+    plain = F.coalesce(~F.col("_u").rlike("[^ACGT]"), F.lit(False))
+    odd = up.filter(~plain).withColumn("_bad", F.length(F.regexp_replace("_u", "[ACGT]", ""))).withColumn("_before", F.coalesce(F.sum("_bad").over(batch), F.lit(0)))
+    up = up.filter(plain).withColumn("_bad", F.lit(0)).withColumn("_before", F.lit(0).cast("long")).unionByName(odd)
     # stretches of bases between invalid ones, put together again with the letter that is due
     parts = F.split("_u", "[^ACGT]", -1)
     turned = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.substring(F.lit(BASES), ((F.col("_before") + i - 1) % 4 + 1).cast("int"), F.lit(1)), p)))

@@ -249,12 +249,13 @@ def _met(window_rows: DataFrame, read_rows: DataFrame, min_hits: int, block: int
     return met.withColumn("both", F.bit_count(F.col("mask").bitwiseAND(F.col("other"))))
 
 
-def candidates(window_signatures: DataFrame, read_signatures: DataFrame, most: int = 65_535, min_hits: int = 4, mode: str = "all", block: int = 8192, heavy: int = 1 << 14) -> DataFrame:
+def candidates(window_signatures: DataFrame, read_signatures: DataFrame, most: int = 65_535, min_hits: int = 4, mode: str = "all", block: int = 8192, heavy: int = 1 << 14, only: Column | None = None) -> DataFrame:
     """``chrom_id, pos, read_id, hits``: windows and reads that meet in at least ``min_hits`` of their buckets.
 
     Signatures: as from ``signature_rows`` or ``minhash``, a key for each window or read and hash function. mode ``all``: every read of a bucket counts. Two that meet min_hits times also meet
     in a bucket that is not among the min_hits - 1 heaviest of either, so in those they aren't joined: which heavy buckets (of ``heavy`` pairs or more) they share is counted from the bits
     of a mask. A bucket of more than ``block`` entries on either side is joined in parts. ``truncate`` and ``drop`` cut buckets of more than ``most`` reads (J8).
+    only: a condition on other columns of the signatures; pairs that don't meet it may be left out.
     """
     at, read = ["chrom_id", "pos"], ["read_id"]
     # made by Python and read more than once
@@ -263,7 +264,8 @@ def candidates(window_signatures: DataFrame, read_signatures: DataFrame, most: i
         left, right = _entries(window_rows, at).filter("key IS NOT NULL"), _entries(read_rows, read).filter("key IS NOT NULL")
         met = left.join(capped(right, most, mode), ["h", "key"])
         return met.groupBy("chrom_id", "pos", "read_id").agg(F.count("*").alias("hits")).filter(F.col("hits") >= min_hits)
-    return _met(window_rows, read_rows, min_hits, block, heavy).groupBy("chrom_id", "pos", "read_id").agg((F.sum("light") + F.max("both")).alias("hits")).filter(F.col("hits") >= min_hits)
+    met = _met(window_rows, read_rows, min_hits, block, heavy)
+    return (met if only is None else met.filter(only)).groupBy("chrom_id", "pos", "read_id").agg((F.sum("light") + F.max("both")).alias("hits")).filter(F.col("hits") >= min_hits)
 
 
 def kmer_lists(seq: Column | str, k: int, unique: bool = False) -> Column:

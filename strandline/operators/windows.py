@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrow import bounded, flat_bytes
+from ..functions.sequence import extend_window
+from ..shared import cut, shuffle_partitions
 from .prefix import prefix_sums
 
 
@@ -83,6 +85,38 @@ def with_stretch(df: DataFrame, genome: DataFrame, start: Column | str, length:
     return joined.withColumn(name, got).drop("_start", "_tile", "_c", "_t", "_text")
 
 
+def first_of_equal(genome: DataFrame, few: int = 1 << 18) -> DataFrame:
+    """``chrom_id, seq, len`` of a loaded genome without the chromosomes that have the text of an earlier one: whatever is found on them is found earlier as well. An id with several texts stays."""
+    held = cut(genome.select("chrom_id", "seq", "len"), "genome")
+    texts = held.select("chrom_id", F.sha2("seq", 256).alias("text"))
+    first = texts.groupBy("text").agg(F.min("chrom_id").alias("first"))
+    single = texts.groupBy("chrom_id").agg(F.min("text").alias("text"), F.count("*").alias("n")).filter("n = 1")
+    later = cut(single.join(first, "text").filter("chrom_id > first").select("chrom_id"), "equal-chromosomes")
+    return held.join(F.broadcast(later) if later.limit(few + 1).count() <= few else later, "chrom_id", "left_anti")
+
+
+def with_extended(found: DataFrame, reads: DataFrame, genome: DataFrame, w: int, longest_read: int, block: int = 1 << 16, least_tile: int = 4096) -> DataFrame:
+    """Windows (chrom_id, pos) of ``w`` letters and reads (read_id, read_seq) that met, with ``read_len, ext_start, ext_len`` and ``window_seq``: the window widened by half the read's length on
+    either side (W6). Pairs whose read is longer than that are left out.
+
+    A pair's tile follows from pos alone and holds its widened window; a tile with more than ``block`` pairs is met in parts. found is read twice. The pairs come spread over all cores.
+    """
+    spark, half, by = found.sparkSession, longest_read // 2, ["chrom_id", "_tile"]
+    size = max(least_tile, 1 << max(0, w + longest_read - 1).bit_length())
+    placed = found.withColumn("_tile", F.expr(f"greatest(0, pos - {half}) div {size}").cast("int"))
+    # few keys: each stands for more than ``block`` rows
+    hot = F.broadcast(placed.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > block).select(*by, F.ceil(F.col("n") / block).cast("int").alias("_parts")))
+    parts, keys = F.coalesce("_parts", F.lit(1)), [*by, "_part"]
+    asked = placed.join(hot, by, "left").withColumn("_part", F.pmod(F.xxhash64("read_id", "pos"), parts).cast("int")).drop("_parts")
+    asked = asked.join(reads, "read_id").repartition(max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism), *keys)
+    held = tiles(genome, size, min(size, 2 * max(w + longest_read, 1))).withColumnRenamed("tile", "_tile").join(hot, by, "left")
+    held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    extended = extend_window("pos", w, F.expr("length(read_seq) div 2").cast("int"), "len")
+    out = asked.join(held, keys).withColumn("e", extended).withColumn("read_len", F.length("read_seq")).filter("read_len <= e.len")
+    window = F.substring("text", F.col("e.start") - F.col("_tile") * size + 1, F.col("e.len"))
+    return out.select("read_id", "chrom_id", "pos", F.col("e.start").alias("ext_start"), F.col("e.len").alias("ext_len"), "read_len", "read_seq", window.alias("window_seq"))
+
+
 def windows(genome: DataFrame, k: int, w: int, limit: int | None = None) -> DataFrame:
     """``chrom_id, window_id, pos, len, seq``: windows at a stride of w - k + 1; the last of a chromosome may be short.
 
@@ -97,6 +131,17 @@ def windows(genome: DataFrame, k: int, w: int, limit: int | None = None) -> Data
     return out if limit is None else out.orderBy("chrom_id", "pos").limit(limit)
 
 
+def wide_windows(genome: DataFrame, k: int, w: int, margin: int) -> DataFrame:
+    """``chrom_id, pos, seq, wide``: windows as from ``windows``, and each with ``margin`` letters more on either side, where there are any (``-`` before the first)."""
+    stride, many = w - k + 1, 32
+    padded = genome.select("chrom_id", F.concat(F.lit("-" * margin), "seq").alias("seq"))
+    rest = F.col("len") - margin - F.col("tile") * (many * stride)
+    ids = F.sequence(F.lit(0), F.least(F.lit(many), F.ceil(rest / stride)).cast("int") - 1)
+    out = tiles(padded, many * stride, k - 1 + 2 * margin).filter(rest > 0).select("chrom_id", "tile", "text", F.explode(ids).alias("i"))
+    at = F.col("i") * stride + 1
+    return out.select("chrom_id", ((F.col("tile") * many + F.col("i")) * stride).alias("pos"), F.substring("text", at + margin, F.lit(w)).alias("seq"), F.substring("text", at, F.lit(w + 2 * margin)).alias("wide"))
+
+
 def numbered_windows(genome: DataFrame, k: int, w: int) -> DataFrame:
     """Windows with their number over the whole genome, in order of chrom_id."""
     return windows(genome, k, w).join(window_counts(genome, k, w).select("chrom_id", "first_window"), "chrom_id").withColumn("global_window_id", F.col("first_window") + F.col("window_id")).drop("first_window")

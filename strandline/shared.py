@@ -60,7 +60,7 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch(spark, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
